@@ -1,0 +1,4 @@
+"""No streaming operators.
+
+The feature set this package covers is batch only, so nothing is built here.
+"""
