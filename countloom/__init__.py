@@ -1,3 +1,11 @@
 """Sparse count factor analytics on long-form Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The small functions that run inside tasks travel with the job, so executors
+# need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

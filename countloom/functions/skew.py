@@ -1,0 +1,46 @@
+"""Slices of hot keys, for joins whose layout is fixed in advance.
+
+For one-off joins adaptive execution splits hot keys at run time. A table that
+is laid out once by its key and joined many times needs the split in the
+layout: a key with very many rows gets several slices, and the other side is
+repeated for exactly these.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from countloom.storage import materialise
+
+HOT_SHARE = 1e-5
+HOT_ROWS = 100_000
+
+
+def hot_keys(fact: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(key, n_slices) for keys with more rows than max(hot_rows, 1/100,000 of all); None if there are none.
+
+    By that limit there are never more than 100,000 of them, so the table may
+    be broadcast whatever the size of ``fact``.
+    """
+    sizes = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    limit = F.greatest(F.lit(float(hot_rows)), sizes.agg(F.sum("_rows") * HOT_SHARE).scalar())
+    hot = sizes.withColumn("_limit", limit).filter(F.col("_rows") > F.col("_limit"))
+    hot = materialise(hot.select(key, F.ceil(F.col("_rows") / F.col("_limit")).cast("int").alias("n_slices")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def add_slice(fact: DataFrame, hot: DataFrame | None, key: str, spread: str, name: str) -> DataFrame:
+    """Number the slice of every fact row; rows of a hot key are spread by the hash of ``spread``."""
+    if hot is None:
+        return fact.withColumn(name, F.lit(0))
+    joined = fact.join(F.broadcast(hot), key, "left")
+    slot = F.pmod(F.xxhash64(spread), F.col("n_slices")).cast("int")
+    return joined.withColumn(name, F.coalesce(slot, F.lit(0))).drop("n_slices")
+
+
+def repeat_slices(dim: DataFrame, hot: DataFrame, key: str, name: str) -> DataFrame:
+    """One row per slice of the key."""
+    joined = dim.join(F.broadcast(hot), key, "left")
+    slots = F.sequence(F.lit(0), F.coalesce("n_slices", F.lit(1)) - 1)
+    return joined.withColumn(name, F.explode(slots)).drop("n_slices")

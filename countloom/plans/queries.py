@@ -430,8 +430,8 @@ def group_fdr(spark, sf):
     Q.with_ctes(*GROUP, Q.group_activity(Q.REST_SIDE))
     + """SELECT factor_idx, 'partial_label' AS groupby_column, 'MACHINERY' AS group_1, 'All Others' AS group_2,
          round(avg(mean_1 - mean_2), 6) AS effect_size, round(var_samp(mean_1 - mean_2), 6) AS effect_size_var,
-         round(avg(CASE WHEN abs(mean_1 - mean_2) > CAST(0.005 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS prob_greater,
-         sum(CASE WHEN abs(mean_1 - mean_2) > CAST(0.005 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS num_greater,
+         round(avg(CASE WHEN abs(mean_1 - mean_2) > CAST(0.005 AS DOUBLE) + CAST(1e-12 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS prob_greater,
+         sum(CASE WHEN abs(mean_1 - mean_2) > CAST(0.005 AS DOUBLE) + CAST(1e-12 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS num_greater,
          round(avg(mean_1), 6) AS mean_activity_1, round(avg(mean_2), 6) AS mean_activity_2
          FROM activity GROUP BY factor_idx"""
 )

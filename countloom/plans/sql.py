@@ -82,8 +82,8 @@ diffs AS (
     FROM psi_samples WINDOW slot AS (PARTITION BY junction_id, sample)) t),
 effects AS (
   SELECT junction_id, factor_idx, avg(diff) AS effect_size, var_samp(diff) AS effect_size_var,
-         avg(CASE WHEN abs(diff) > CAST(0.1 AS DOUBLE) THEN CAST(1 AS DOUBLE) WHEN diff IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS prob_greater,
-         sum(CASE WHEN abs(diff) > CAST(0.1 AS DOUBLE) THEN CAST(1 AS DOUBLE) WHEN diff IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS num_greater,
+         avg(CASE WHEN abs(diff) > CAST(0.1 AS DOUBLE) + CAST(1e-12 AS DOUBLE) THEN CAST(1 AS DOUBLE) WHEN diff IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS prob_greater,
+         sum(CASE WHEN abs(diff) > CAST(0.1 AS DOUBLE) + CAST(1e-12 AS DOUBLE) THEN CAST(1 AS DOUBLE) WHEN diff IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS num_greater,
          avg(psi) AS psi_factor_mean, avg(others) AS psi_nonfactor_mean
   FROM diffs GROUP BY junction_id, factor_idx)"""
 
@@ -111,8 +111,8 @@ per_sample AS (
   FROM psi_samples JOIN activity USING (sample, factor_idx) GROUP BY junction_id, sample),
 effects AS (
   SELECT junction_id, avg(m1 - m2) AS effect_size, var_samp(m1 - m2) AS effect_size_var,
-         avg(CASE WHEN abs(m1 - m2) > CAST({delta} AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS prob_greater,
-         sum(CASE WHEN abs(m1 - m2) > CAST({delta} AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS num_greater
+         avg(CASE WHEN abs(m1 - m2) > CAST({delta} AS DOUBLE) + CAST(1e-12 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS prob_greater,
+         sum(CASE WHEN abs(m1 - m2) > CAST({delta} AS DOUBLE) + CAST(1e-12 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS num_greater
   FROM per_sample GROUP BY junction_id)"""
 
 
@@ -126,7 +126,7 @@ ranked AS (
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fdr_curve
   FROM effects),
 flagged AS (
-  SELECT *, coalesce(fdr_curve <= CAST({threshold} AS DOUBLE) AND abs_effect_size > CAST({delta} AS DOUBLE), false) AS significant FROM ranked),
+  SELECT *, coalesce(fdr_curve <= CAST({threshold} AS DOUBLE) + CAST(1e-12 AS DOUBLE) AND abs_effect_size > CAST({delta} AS DOUBLE) + CAST(1e-12 AS DOUBLE), false) AS significant FROM ranked),
 scored AS (
   SELECT *, CAST(sum(CASE WHEN significant THEN 1 ELSE 0 END) OVER ({part}) AS BIGINT) AS n_significant FROM flagged)"""
 

@@ -72,7 +72,10 @@ class TwoSlots:
         self._paths = [f"{base}/a", f"{base}/b"]
         self._turn = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def next_path(self) -> str:
         path = self._paths[self._turn]
         self._turn = 1 - self._turn
-        return write_and_read(df, path)
+        return path
+
+    def write(self, df: DataFrame) -> DataFrame:
+        return write_and_read(df, self.next_path())
