@@ -103,7 +103,7 @@ def mean_counts(counts: DataFrame, cells: DataFrame) -> DataFrame:
     """Mean count per junction over all cells, those without reads included."""
     n_cells = cells.select(F.count(F.lit(1)).alias("n")).scalar()
     return counts.groupBy("junction_id").agg(F.sum("y").alias("total")).withColumn(
-        "mean_count", F.col("total") / n_cells
+        "mean_count", F.try_divide("total", n_cells)
     )
 
 
@@ -164,7 +164,7 @@ def density(counts: DataFrame, cells: DataFrame, junctions: DataFrame) -> DataFr
     out = counts.agg(F.count(F.lit(1)).alias("nnz")).select(
         "nnz", n_cells.alias("n_cells"), n_junctions.alias("n_junctions")
     )
-    share = F.col("nnz") / (F.col("n_cells") * F.col("n_junctions"))
+    share = F.try_divide(F.col("nnz").cast("double"), F.col("n_cells") * F.col("n_junctions"))
     return out.withColumn("density", share).withColumn("sparsity", F.lit(1.0) - share)
 
 

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.functions.ranking import exact_quantiles
+from countloom.functions.vectors import pack
+from countloom.operators import betabinom, fdr_em, likelihood, posterior, quality
 from countloom.operators import counts as C
 from countloom.operators import differential as D
-from countloom.operators import fdr_em, likelihood, posterior, quality
+from countloom.operators import fit as M
 from countloom.operators import summaries as S
+from countloom.operators import waypoints as W
 from countloom.plans import inputs as I
 from countloom.plans import sql as Q
+from countloom.sources import dataset as IO
+from countloom.sources import gtf
+from countloom.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -833,3 +838,324 @@ it{i} AS (SELECT {i} AS i, p, greatest(CAST(0.1 AS DOUBLE), least(CAST(0.9 AS DO
 @query(_em_sql(30))
 def em_fdr(spark, sf):
     return fdr_em.fit_mixture(I.scores(spark, sf), max_iter=30)[0]
+
+
+# ---- waypoints and starting factors -------------------------------------------------------
+
+N_WAYPOINTS, N_NEAREST = 6, 5
+
+
+def _waypoint_ctes(n: int, nearest: int) -> tuple[str, ...]:
+    """Farthest-first steps and the metacells that take turns, unrolled."""
+    ctes = [
+        """
+pts AS MATERIALIZED (
+  SELECT vec_id AS cell_id, CAST(embedding AS DOUBLE[]) AS e, CAST(embedding[1:10] AS DOUBLE[]) AS x FROM embeddings)""",
+        """
+w0 AS MATERIALIZED (
+  SELECT cell_id, x, e, CAST(NULL AS DOUBLE) AS d FROM pts
+  ORDER BY md5(concat_ws('|', CAST(cell_id AS VARCHAR), '42')), cell_id LIMIT 1)""",
+        "\nn0 AS MATERIALIZED (SELECT p.cell_id, p.x, p.e, list_distance(p.x, w.x) AS near FROM pts p, w0 w)",
+    ]
+    for i in range(1, n):
+        ctes.append(
+            f"\nw{i} AS MATERIALIZED (SELECT cell_id, x, e, near AS d FROM n{i - 1} ORDER BY near DESC, cell_id LIMIT 1)"
+        )
+        ctes.append(
+            f"""
+n{i} AS MATERIALIZED (
+  SELECT p.cell_id, p.x, p.e, least(p.near, list_distance(p.x, w.x)) AS near FROM n{i - 1} p, w{i} w)"""
+        )
+    union = " UNION ALL ".join(f"SELECT {i} AS waypoint_idx, cell_id, d FROM w{i}" for i in range(n))
+    ctes.append(f"\nwaypoints AS ({union})")
+    for i in range(n):
+        free = " AND ".join(f"p.cell_id NOT IN (SELECT cell_id FROM m{j})" for j in range(i)) or "true"
+        ctes.append(
+            f"""
+m{i} AS MATERIALIZED (
+  SELECT p.cell_id, row_number() OVER (ORDER BY list_distance(p.e, w.e), p.cell_id) - 1 AS rank
+  FROM pts p, w{i} w WHERE {free} ORDER BY rank LIMIT {nearest})"""
+        )
+    union = " UNION ALL ".join(f"SELECT {i} AS metacell_idx, rank, cell_id FROM m{i}" for i in range(n))
+    ctes.append(f"\nmetacells AS ({union})")
+    return tuple(ctes)
+
+
+WAYPOINTS = _waypoint_ctes(N_WAYPOINTS, N_NEAREST)
+
+
+def _waypoints(spark, sf, n=N_WAYPOINTS):
+    return W.max_min_waypoints(I.points(spark, sf), n)
+
+
+def _metacells(spark, sf, n=N_WAYPOINTS):
+    return W.assign_metacells(I.points(spark, sf), _waypoints(spark, sf, n), N_NEAREST)
+
+
+@query(
+    Q.with_ctes(*WAYPOINTS)
+    + f"SELECT CAST({N_WAYPOINTS} AS INTEGER) AS n_waypoints, CAST(waypoint_idx AS INTEGER) AS waypoint_idx, cell_id, round(d, 6) AS min_dist FROM waypoints"
+)
+def max_min_waypoints(spark, sf):
+    return _waypoints(spark, sf)
+
+
+@query(
+    Q.with_ctes(*WAYPOINTS)
+    + f"""SELECT CAST({N_WAYPOINTS} AS INTEGER) AS n_waypoints, CAST(metacell_idx AS INTEGER) AS metacell_idx,
+          CAST(rank AS INTEGER) AS rank, cell_id FROM metacells"""
+)
+def metacells(spark, sf):
+    return _metacells(spark, sf)
+
+
+INIT = (
+    *BASE,
+    Q.JUNCTIONS,
+    *WAYPOINTS,
+    """
+drawn AS (
+  SELECT junction_id, metacell_idx,
+         arg_min(y / n, md5(concat_ws('|', CAST(cell_id AS VARCHAR), junction_id, '0'))) AS psi
+  FROM obs JOIN metacells USING (cell_id) WHERE y > 0 GROUP BY junction_id, metacell_idx),
+psi_init AS (
+  SELECT g.metacell_idx AS factor_idx, g.junction_id, coalesce(d.psi, CAST(0.01 AS DOUBLE)) AS psi
+  FROM (SELECT junction_id, metacell_idx FROM junctions, (SELECT DISTINCT metacell_idx FROM metacells) m) g
+  LEFT JOIN drawn d ON d.junction_id = g.junction_id AND d.metacell_idx = g.metacell_idx)""",
+)
+
+
+# Both the waypoints and their metacells for 2 are the first two of those for 6.
+@query(
+    Q.with_ctes(*INIT)
+    + """SELECT CAST(6 AS INTEGER) AS n_waypoints, CAST(factor_idx AS INTEGER) AS factor_idx, junction_id, round(psi, 6) AS psi FROM psi_init
+         UNION ALL SELECT 2, CAST(factor_idx AS INTEGER), junction_id, round(psi, 6) FROM psi_init WHERE factor_idx < 2"""
+)
+def psi_init(spark, sf):
+    members = {n: _metacells(spark, sf, n) for n in (N_WAYPOINTS, 2)}
+    return W.generate_initializations(_obs(spark, sf), members, I.junctions(spark, sf), I.cells(spark, sf))[0]
+
+
+@query(
+    Q.with_ctes(*INIT, Q.CELLS)
+    + """, v AS (SELECT junction_id, max(CASE WHEN factor_idx = 0 THEN psi END) AS p0, max(CASE WHEN factor_idx = 1 THEN psi END) AS p1
+                 FROM psi_init GROUP BY junction_id),
+    gram AS (SELECT sum(p0 * p0) AS g00, sum(p0 * p1) AS g01, sum(p1 * p1) AS g11 FROM v),
+    rhs AS (SELECT c.cell_id, coalesce(sum(y / n * p0), 0) AS b0, coalesce(sum(y / n * p1), 0) AS b1
+            FROM cells c LEFT JOIN obs USING (cell_id) LEFT JOIN v USING (junction_id) GROUP BY c.cell_id),
+    solved AS (SELECT cell_id, greatest(CAST(0.01 AS DOUBLE), least(CAST(0.99 AS DOUBLE), (g11 * b0 - g01 * b1) / (g00 * g11 - g01 * g01))) AS f0,
+                      greatest(CAST(0.01 AS DOUBLE), least(CAST(0.99 AS DOUBLE), (g00 * b1 - g01 * b0) / (g00 * g11 - g01 * g01))) AS f1 FROM rhs, gram)
+    SELECT CAST(2 AS INTEGER) AS n_waypoints, cell_id, CAST(0 AS INTEGER) AS factor_idx, round(f0 / (f0 + f1), 6) AS phi FROM solved
+    UNION ALL SELECT 2, cell_id, 1, round(f1 / (f0 + f1), 6) FROM solved"""
+)
+def phi_init(spark, sf):
+    return W.initialize_psi_phi(
+        _obs(spark, sf), _metacells(spark, sf, 2), I.junctions(spark, sf), I.cells(spark, sf), 2
+    )[1]
+
+
+@query()
+def stored_initialisation(spark, sf):
+    """Starting factors for six waypoints, stored and looked up by K."""
+    found = W.generate_initializations(
+        _obs(spark, sf), {N_WAYPOINTS: _metacells(spark, sf)}, I.junctions(spark, sf), I.cells(spark, sf)
+    )
+    path = scratch_path(spark, "initialisation")
+    IO.save_initialisation(*found, path)
+    return IO.load_initialisation(spark, path, N_WAYPOINTS)[1].select("cell_id", "factor_idx", "phi")
+
+
+@query()
+def pca_coordinates(spark, sf):
+    """Four principal coordinates of the centred usage of every cell."""
+    coords, _ = W.principal_components(C.centered_psi(_obs(spark, sf)), "centered", 4, iterations=4)
+    return coords.select("cell_id", *[F.col("coords")[i].alias(f"pc_{i + 1}") for i in range(4)])
+
+
+# ---- model fit ----------------------------------------------------------------------------
+
+
+@query(
+    Q.with_ctes(*BASE, Q.PSI, Q.PHI)
+    + """, f AS (SELECT factor_idx, junction_id, greatest(CAST(1e-6 AS DOUBLE), least(1 - CAST(1e-6 AS DOUBLE), psi)) AS psi FROM psi),
+    grid AS (SELECT o.cell_id, o.junction_id, y, n, phi.factor_idx, phi, coalesce(psi, CAST(1e-6 AS DOUBLE)) AS psi
+             FROM obs o JOIN phi USING (cell_id) LEFT JOIN f ON f.junction_id = o.junction_id AND f.factor_idx = phi.factor_idx),
+    mixed AS (SELECT *, sum(phi * psi) OVER e AS p1, sum(phi * (1 - psi)) OVER e AS p0 FROM grid WINDOW e AS (PARTITION BY cell_id, junction_id)),
+    splits AS (SELECT *, y / p1 * phi * psi AS r1, (n - y) / p0 * phi * (1 - psi) AS r0 FROM mixed)
+    SELECT 'cell' AS kind, CAST(cell_id AS VARCHAR) AS key, factor_idx, round(sum(r1), 6) AS r1, round(sum(r0), 6) AS r0 FROM splits GROUP BY cell_id, factor_idx
+    UNION ALL
+    SELECT 'junction', junction_id, factor_idx, round(sum(r1), 6), round(sum(r0), 6) FROM splits GROUP BY junction_id, factor_idx"""
+)
+def fit_split_sums(spark, sf):
+    """One pass of the fit from given factors: expected splits summed by cell and by junction."""
+    k = I.K
+    config = M.FitConfig(k=k, concentration=float("inf"))
+    entries = M.prepare_entries(_obs(spark, sf), config)
+    none = F.lit(None).cast("double")
+    cell_rows = pack(I.phi(spark, sf), "cell_id", "factor_idx", "phi", k, "e1")
+    junction_rows = M._fixed_psi_rows(I.psi(spark, sf), k)
+    state = M.State(cell_rows.withColumn("a", none), junction_rows)
+    sums = M._epoch_sums(entries, state, config, M._start_hyper(config), 1.0, False)
+    slots = F.array(
+        *[
+            F.struct(F.lit(i).alias("factor_idx"), F.col(f"r1_{i}").alias("r1"), F.col(f"r0_{i}").alias("r0"))
+            for i in range(k)
+        ]
+    )
+    long = sums.select(
+        F.when(F.col("cell_id").isNotNull(), "cell").otherwise("junction").alias("kind"),
+        F.coalesce(F.col("cell_id").cast("string"), "junction_id").alias("key"),
+        F.inline(slots),
+    )
+    present = I.phi(spark, sf).select(F.lit("cell").alias("kind"), F.col("cell_id").cast("string").alias("key"), "factor_idx")
+    by_cell = long.filter("kind = 'cell'").join(present, ["kind", "key", "factor_idx"])
+    return by_cell.unionByName(long.filter("kind = 'junction'"))
+
+
+def _binomial(**more):
+    return M.FitConfig(k=3, num_epochs=8, concentration=float("inf"), **more)
+
+
+@query()
+def fit_losses(spark, sf):
+    """Loss per epoch of two starts of the binomial model."""
+    return M.fit(_obs(spark, sf), _binomial(), seeds=[1, 2]).losses
+
+
+@query()
+def fit_psi(spark, sf):
+    """Factors of the beta-binomial model with learned concentration."""
+    return M.fit(_obs(spark, sf), M.FitConfig(k=3, num_epochs=8), seeds=[1]).psi
+
+
+@query()
+def fit_phi(spark, sf):
+    """Activities of the best of two starts, through the stored result."""
+    result = M.fit(_obs(spark, sf), _binomial(), seeds=[1, 2], cells=I.cells(spark, sf))
+    stored = IO.load_fit(spark, IO.save_fit(result, scratch_path(spark, "fit"), 3, 2))
+    return posterior.of_best_run(stored.phi, stored.runs).select("run_id", "cell_id", "factor_idx", "phi")
+
+
+@query()
+def transfer_phi(spark, sf):
+    """Activities for given factors."""
+    return M.transfer(_obs(spark, sf), I.psi(spark, sf), M.FitConfig(k=I.K, num_epochs=8, concentration=10.0)).phi
+
+
+@query()
+def posterior_draws(spark, sf):
+    """Mean and spread of drawn activities after a fit that starts from waypoints."""
+    obs, members = _obs(spark, sf), _metacells(spark, sf)
+    psi, phi = W.initialize_psi_phi(obs, members, I.junctions(spark, sf), I.cells(spark, sf), N_WAYPOINTS)
+    config = M.FitConfig(k=N_WAYPOINTS, num_epochs=4, concentration=float("inf"))
+    result = M.fit(obs, config, seeds=[1], psi_init=psi, phi_init=phi)
+    draws = M.sample_phi(result.phi, N_WAYPOINTS, 10, seed=1)
+    return posterior.posterior_summary(draws, "phi", ["cell_id", "factor_idx"])
+
+
+@query(
+    Q.with_ctes(*BASE)
+    + """SELECT junction_id, part, value, count(*) AS times FROM (
+           SELECT junction_id, 'y' AS part, y AS value FROM obs UNION ALL SELECT junction_id, 'f', n - y FROM obs
+           UNION ALL SELECT junction_id, 'n', n FROM obs) t GROUP BY junction_id, part, value"""
+)
+def bb_value_counts(spark, sf):
+    return betabinom.value_counts(_obs(spark, sf))
+
+
+@query()
+def bb_mle(spark, sf):
+    """Beta-binomial intercept of every junction, zeros included."""
+    obs = _obs(spark, sf)
+    data = C.Dataset(
+        I.cells(spark, sf),
+        I.junctions(spark, sf),
+        {C.JUNCTION_LAYER: obs.select("cell_id", "junction_id", "y"), C.CLUSTER_LAYER: C.atse_totals(obs)},
+    )
+    return betabinom.fit_alpha_beta(C.observed_entries(data, include_zeros=True))
+
+
+# ---- sources and sinks --------------------------------------------------------------------
+
+
+def _gtf_lines(spark, sf):
+    """The part table as annotation lines, with a comment line per brand."""
+    part = I.table(spark, sf, "part")
+    feature = (
+        F.when(F.col("p_type") == "ECONOMY", "exon").when(F.col("p_type") == "LARGE", "transcript").otherwise("gene")
+    )
+    gene = F.when(F.col("p_type") != "PROMO", F.concat(F.lit('gene_id "'), "p_brand", F.lit('"; ')))
+    attributes = F.concat(
+        F.coalesce(gene, F.lit("")),
+        F.lit('tag "'), "p_type", F.lit('"; tag "'), "p_name", F.lit('"; note "'), "p_name", F.lit('";'),
+    )
+    start = F.col("p_partkey") * 10 + 1
+    fields = [
+        F.col("p_brand"), F.lit("catalog"), feature, start.cast("string"), (start + F.col("p_size")).cast("string"),
+        F.lit("."), F.lit("+"), F.lit("."), attributes,
+    ]
+    comments = part.select(F.concat(F.lit("#!brand "), "p_brand").alias("value")).distinct()
+    return part.select(F.concat_ws("\t", *fields).alias("value")).unionByName(comments)
+
+
+def _gtf(spark, sf, feature_type, compression):
+    path = scratch_path(spark, "gtf")
+    _gtf_lines(spark, sf).write.option("compression", compression).text(path)
+    rows = gtf.read_gtf(spark, path, feature_type)
+    names = {"gene_id": "gene_id", "tag": "tag", "note": "note"}
+    return rows.select(
+        "seqname", "source", "feature", "start", "end", "score", "strand", "frame",
+        *[F.col("attributes")[key].alias(name) for key, name in names.items()],
+    )
+
+
+_GTF_SQL = """
+SELECT p_brand AS seqname, 'catalog' AS source, feature, CAST(p_partkey * 10 + 1 AS INTEGER) AS start,
+       CAST(p_partkey * 10 + 1 + p_size AS INTEGER) AS "end", '.' AS score, '+' AS strand, '.' AS frame,
+       CASE WHEN p_type <> 'PROMO' THEN concat('"', p_brand, '"') END AS gene_id,
+       concat('"', p_name, '"') AS tag, concat('"', p_name, '"') AS note
+FROM (SELECT *, CASE p_type WHEN 'ECONOMY' THEN 'exon' WHEN 'LARGE' THEN 'transcript' ELSE 'gene' END AS feature FROM part) t
+WHERE """
+
+
+@query(_GTF_SQL + "true")
+def gtf_scan(spark, sf):
+    return _gtf(spark, sf, "all", "none")
+
+
+@query(_GTF_SQL + "feature = 'exon'")
+def gtf_exons(spark, sf):
+    return _gtf(spark, sf, "exon", "gzip")
+
+
+@query(_GTF_SQL + "p_type <> 'PROMO'")
+def gtf_with_gene(spark, sf):
+    return _gtf(spark, sf, "gene_id", "gzip")
+
+
+@query(Q.with_ctes(*BASE) + "SELECT cell_id, junction_id, atse_id, y, n FROM obs")
+def dataset_roundtrip(spark, sf):
+    """A dataset written, read back with its checks, and aligned."""
+    obs = _obs(spark, sf)
+    layers = {C.JUNCTION_LAYER: obs.select("cell_id", "junction_id", "y"), C.CLUSTER_LAYER: C.atse_totals(obs)}
+    path = scratch_path(spark, "dataset")
+    IO.save_dataset(C.Dataset(I.cells(spark, sf), I.junctions(spark, sf), layers), path)
+    return IO.load_observed(spark, path)
+
+
+@query(ORACLES["posterior_summary"])
+def csv_results(spark, sf):
+    """A result table through its CSV file."""
+    stats = posterior.posterior_summary(I.psi_samples(spark, sf), "psi", ["factor_idx", "junction_id"])
+    path = IO.save_results(stats, scratch_path(spark, "csv"))
+    return spark.read.schema(stats.schema).option("header", True).csv(path)
+
+
+@query(
+    Q.with_ctes(Q.PURCHASES, Q.PSI)
+    + "SELECT junction_id, "
+    + ", ".join(f"round(max(CASE WHEN factor_idx = {i} THEN psi END), 6) AS psi_{i}" for i in range(I.K))
+    + " FROM psi GROUP BY junction_id"
+)
+def psi_wide(spark, sf):
+    return IO.psi_wide(I.psi(spark, sf), I.K)
