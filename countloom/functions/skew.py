@@ -23,10 +23,10 @@ def hot_keys(fact: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame |
     By that limit there are never more than 100,000 of them, so the table may
     be broadcast whatever the size of ``fact``.
     """
+    limit = max(float(hot_rows), fact.count() * HOT_SHARE)
     sizes = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = F.greatest(F.lit(float(hot_rows)), sizes.agg(F.sum("_rows") * HOT_SHARE).scalar())
-    hot = sizes.withColumn("_limit", limit).filter(F.col("_rows") > F.col("_limit"))
-    hot = materialise(hot.select(key, F.ceil(F.col("_rows") / F.col("_limit")).cast("int").alias("n_slices")), "hot")
+    slices = F.ceil(F.col("_rows") / limit).cast("int").alias("n_slices")
+    hot = materialise(sizes.filter(F.col("_rows") > limit).select(key, slices), "hot")
     return None if hot.isEmpty() else hot
 
 

@@ -15,6 +15,7 @@ from countloom.operators import fit as M
 from countloom.operators import summaries as S
 from countloom.operators import waypoints as W
 from countloom.plans import inputs as I
+from countloom.plans import lifecycles
 from countloom.plans import sql as Q
 from countloom.sources import dataset as IO
 from countloom.sources import gtf
@@ -965,6 +966,13 @@ def stored_initialisation(spark, sf):
     return IO.load_initialisation(spark, path, N_WAYPOINTS)[1].select("cell_id", "factor_idx", "phi")
 
 
+@query()
+def waypoint_start(spark, sf):
+    """Starting activities from counts alone: centred usage, components, waypoints, metacells, factors."""
+    obs, junctions, cells = _obs(spark, sf), I.junctions(spark, sf), I.cells(spark, sf)
+    return lifecycles.waypoint_initialisation(obs, junctions, cells, [3, N_WAYPOINTS], components=5)[1]
+
+
 @query()
 def pca_coordinates(spark, sf):
     """Four principal coordinates of the centred usage of every cell."""
@@ -1042,6 +1050,13 @@ def transfer_phi(spark, sf):
     return M.transfer(_obs(spark, sf), I.psi(spark, sf), M.FitConfig(k=I.K, num_epochs=8, concentration=10.0)).phi
 
 
+@query()
+def fitted_program_effects(spark, sf):
+    """The whole way from counts to significant junctions per program."""
+    psi_draws, _, _ = lifecycles.fit_and_sample(_obs(spark, sf), _binomial(), seeds=[1])
+    return lifecycles.program_effects(psi_draws, 0.1, 0.2).select("factor_idx", "junction_id", "effect_size", "fdr_curve", "significant")
+
+
 @query()
 def posterior_draws(spark, sf):
     """Mean and spread of drawn activities after a fit that starts from waypoints."""

@@ -10,7 +10,7 @@ from countloom.storage import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session()
+    session = local_session(8, shuffle_partitions=4, app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
