@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from countloom.functions.special import digamma, lgamma, trigamma
 
 
+# A concentration beyond this is a binomial: the likelihood has no finite maximum.
+_NO_MAXIMUM = 1e5
+
+
 def value_counts(obs: DataFrame) -> DataFrame:
     """(junction_id, part, value, times): how often each y, n - y and n occurs.
 
@@ -63,19 +67,17 @@ def _solve(parts: pd.DataFrame, max_iter: int, tol: float) -> tuple[float, float
                 break
             scale /= 2
         else:
-            converged = True
+            converged = a + b <= _NO_MAXIMUM
             break
-        moved = max(abs(np.log(na / a)), abs(np.log(nb / b)))
+        gain = value - best
         a, b, best = na, nb, value
-        if moved < tol:
-            converged = True
-            break
-        if a + b > 1e8:
+        if gain <= tol * max(1.0, abs(best)) or a + b > _NO_MAXIMUM:
+            converged = a + b <= _NO_MAXIMUM
             break
     return a, b, best, converged, int(total)
 
 
-def fit_alpha_beta(obs: DataFrame, max_iter: int = 100, tol: float = 1e-8) -> DataFrame:
+def fit_alpha_beta(obs: DataFrame, max_iter: int = 100, tol: float = 1e-12) -> DataFrame:
     """(junction_id, alpha, beta, loglik, converged, n_obs); loglik without the ln C(n, y) terms.
 
     Underdispersed data have no finite maximum; such rows have converged = false.

@@ -27,10 +27,16 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Every double column rounded, so that the order of summation does not show."""
-    return df.select(
-        *[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    )
+    """Every double column rounded half away from zero, so that the order of summation does not show.
+
+    Plain arithmetic rather than ``round``, which goes through decimals.
+    """
+    scale = float(10**digits)
+
+    def near(c: str):
+        return (F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale).alias(c)
+
+    return df.select(*[near(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def query(sql: str | None = None, name: str | None = None):
