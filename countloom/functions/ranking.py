@@ -27,12 +27,12 @@ def with_running(
     must differ in ``order`` within a group for the rank to be well defined.
     """
     sums = sums or {}
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a number, adaptive execution may merge neighbouring ranges of little data.
+    number = [partitions] if partitions else []
     weights = {f"_w_{name}": expr for name, expr in sums.items()}
     ranged = (
         df.withColumns(weights)
-        .repartitionByRange(parts, *[F.col(g) for g in group], *order)
+        .repartitionByRange(*number, *[F.col(g) for g in group], *order)
         .withColumn("_part", F.spark_partition_id())
     )
     # The split must not change between its two uses below, so it is written.
