@@ -22,12 +22,6 @@ def dot(left: Column, right: Column, size: int) -> Column:
     return total([left[i] * right[i] for i in range(size)])
 
 
-def squared_distance(left: Column, right: Column) -> Column:
-    """Squared Euclidean distance of two arrays of the same length."""
-    gaps = F.zip_with(left, right, lambda a, b: (a - b) * (a - b))
-    return F.aggregate(gaps, F.lit(0.0), lambda acc, v: acc + v)
-
-
 def pack(df: DataFrame, key: str, index: str, value: str, size: int, name: str) -> DataFrame:
     """Long rows (key, index, value) to one array per key; absent slots are 0.
 
