@@ -36,6 +36,7 @@ from countloom.llm.text import BASE, CHUNK_BYTES, hash_runs, mix, rolling, word_
 from countloom.storage import materialise
 
 _PRIME_SEED = 23
+_SHORT_BASE = np.uint64(int(BASE) + 2)
 _STAR_ROUNDS = 4
 
 
@@ -72,7 +73,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
         short = np.flatnonzero((counts > 0) & (counts < width))
         if len(short):
             picked = np.isin(owner, short)
-            values = np.concatenate([values, hash_runs(chunk.hash[picked], counts[short], BASE + np.uint64(2))])
+            values = np.concatenate([values, hash_runs(chunk.hash[picked], counts[short], _SHORT_BASE)])
             of = np.concatenate([of, short])
         order = np.lexsort((values, of))
         values, of = values[order], of[order]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from countloom.llm import neardup
+from countloom.llm import neardup, substring
 from countloom.llm.tables import documents
 
 
@@ -13,5 +14,10 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.documents.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op9_minhash_neardup": op9_minhash_neardup}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(documents(spark, sf_dir), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op9_minhash_neardup": op9_minhash_neardup}
 ORACLES: dict[str, str] = {}
