@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm import neardup, substring
+from countloom.llm import neardup, substring, suffixtree
 from countloom.llm.tables import documents
 
 
@@ -19,5 +19,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op9_minhash_neardup": op9_minhash_neardup}
+def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = suffixtree.score_held_out(documents(spark, sf_dir), remainder=1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
+    "op9_minhash_neardup": op9_minhash_neardup,
+    "op10_suffix_tree_lm": op10_suffix_tree_lm,
+}
 ORACLES: dict[str, str] = {}
