@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm import neardup, substring, suffixtree
+from countloom.llm import neardup, packing, substring, suffixtree, toxicity
 from countloom.llm.tables import documents
 
 
@@ -24,7 +24,18 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.classify(documents(spark, sf_dir), labels)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).drop("text_key")
+
+
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op3_toxicity_cnn": op3_toxicity_cnn,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_suffix_tree_lm": op10_suffix_tree_lm,
