@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm import neardup, packing, substring, suffixtree, toxicity
+from countloom.llm import neardup, packing, pii, substring, suffixtree, toxicity
 from countloom.llm.tables import documents
 
 
@@ -33,7 +33,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("text_key")
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op7_pii_crf": op7_pii_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op3_toxicity_cnn": op3_toxicity_cnn,
     "op6_substring_dedup": op6_substring_dedup,
