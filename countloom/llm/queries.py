@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm import neardup, packing, pii, substring, suffixtree, toxicity
+from countloom.llm import neardup, packing, pii, quality, substring, suffixtree, toxicity
 from countloom.llm.tables import documents
 
 
@@ -37,7 +37,16 @@ def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(documents(spark, sf_dir)))
 
 
+def op8_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality.judge(documents(spark, sf_dir), labels)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"
+    )
+
+
 QUERIES = {
+    "op8_risk_controlled_quality": op8_risk_controlled_quality,
     "op7_pii_crf": op7_pii_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op3_toxicity_cnn": op3_toxicity_cnn,
