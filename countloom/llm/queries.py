@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm import neardup, packing, pii, quality, substring, suffixtree, toxicity
+from countloom.llm import mixing, neardup, packing, pii, quality, substring, suffixtree, toxicity
 from countloom.llm.tables import documents
 
 
@@ -45,7 +45,13 @@ def op8_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op8_risk_controlled_quality": op8_risk_controlled_quality,
     "op7_pii_crf": op7_pii_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
