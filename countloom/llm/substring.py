@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countloom.llm.sieve import split_by_ids
 from countloom.llm.tables import text_key, texts
 from countloom.llm.text import BASE, Words, mix, powers, rolling, word_chunks
 from countloom.storage import materialise
@@ -151,7 +152,8 @@ def single_windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                     names=["doc_id", "text_key", "h", "check", "start"],
                 )
 
-    rows = texts(docs).withColumn("text_key", text_key()).withColumnRenamed("doc_id", "_doc")
+    some, _ = split_by_ids(texts(docs), spans)
+    rows = some.withColumn("text_key", text_key()).withColumnRenamed("doc_id", "_doc")
     rows = rows.dropDuplicates(["_doc", "text_key"])
     joined = rows.join(spans, (rows["_doc"] == spans["doc_id"]) & (rows["text_key"] == spans["text_key"])).select(
         "doc_id", "text", spans["text_key"], "spans"
@@ -183,6 +185,7 @@ def matches(docs: DataFrame, window: int = 50) -> DataFrame:
     opened = heads.join(contested, "anchor").select("h", "check", "copies", "doc_id", "text_key", "start", "n")
     opened = materialise(opened, "contested")
     spans = opened.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = materialise(spans, "spans")
     windows = materialise(single_windows(docs, spans, window), "windows")
     least = windows.groupBy("h", "check").agg(
         F.min(F.struct("doc_id", "start")).alias("top"), F.max("doc_id").alias("last")
@@ -274,11 +277,13 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 names=["doc_id", "text_key", "n_words", "n_removed", "kept_text", "factors"],
             )
 
-    rows = texts(docs).withColumn("text_key", text_key())
+    some, others = split_by_ids(texts(docs), spans)
+    some, others = some.withColumn("text_key", text_key()), others.withColumn("text_key", text_key())
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "factors")
-    joined = rows.join(spans, (rows["doc_id"] == spans["_d"]) & (rows["text_key"] == spans["_k"]), "left").select(
+    joined = some.join(spans, (some["doc_id"] == spans["_d"]) & (some["text_key"] == spans["_k"]), "left").select(
         "doc_id", "text", "text_key", "factors"
     )
+    joined = joined.unionByName(others.withColumn("factors", F.lit(None).cast(spans.schema["factors"].dataType)))
     kind = "array<struct<start: int, words: int, ref_doc: long, ref_start: int>>"
     return joined.mapInArrow(
         work, f"doc_id long, text_key long, n_words long, n_removed long, kept_text string, factors {kind}"
