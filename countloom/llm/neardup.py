@@ -3,10 +3,10 @@
 1. Every text becomes its set of distinct word shingles and a MinHash signature. Texts with
    equal sets form one class, so exact copies cost one row from here on.
 2. Signatures are cut into bands; classes that agree in a band share a bucket.
-3. A bucket never becomes all of its pairs. In star rounds every member is compared with one leader
-   of its bucket, and linked members fall into one component. Afterwards only pairs
-   of different components are left, and these are compared in full, so no link is lost to a
-   cap. Pairs within one component cannot change the result.
+3. A bucket never becomes all of its pairs. First every member is compared with one leader of its bucket, and
+   members that link with a common hub fall together. Afterwards only pairs of different hubs are left; all of these
+   are compared, in blocks of signatures of which only survivors leave the task, so no link is
+   lost to a cap. Pairs below one hub cannot change the result.
 4. A compared pair is looked at in batches of signature values. With a uniform prior, the
    posterior of the similarity after m of n agreements is Beta(m + 1, n - m + 1); a pair whose posterior
    probability of reaching the threshold is below ``miss`` is pruned.
@@ -31,19 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countloom.llm.sieve import split_by_ids
 from countloom.llm.tables import text_key, texts
 from countloom.llm.text import BASE, CHUNK_BYTES, hash_runs, mix, rolling, word_chunks
 from countloom.storage import materialise
 
 _PRIME_SEED = 23
 _SHORT_BASE = np.uint64(int(BASE) + 2)
-_STAR_ROUNDS = 4
 
 
 @dataclass(frozen=True)
 class NearDupConfig:
     """At similarity 0.75, 32 bands of 4 values miss a pair with probability 6e-6.
 
+    ``extra`` values beyond the bands only serve the sequential comparison. Each value is kept with 16 bits, which
+    can only make a pair look more alike.
+
     ``percent``: linked if 100 * intersection >= percent * union. ``miss``: posterior probability below
     which a pair is pruned, after every ``batch`` signature values.
     """
@@ -52,12 +55,14 @@ class NearDupConfig:
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    batch: int = 16
+    extra: int = 384
+    batch: int = 32
     miss: float = 1e-6
+    block: int = 256
 
     @property
     def values(self) -> int:
-        return self.bands * self.rows
+        return self.bands * self.rows + self.extra
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -93,15 +98,15 @@ def set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
-    """MinHash values (32 bits each) of sets that are not empty."""
+    """MinHash values of sets that are not empty, the low 16 bits of each."""
     rng = np.random.default_rng(_PRIME_SEED)
     scale = rng.integers(1, 2**62, size, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**62, size, dtype=np.int64).astype(np.uint64)
-    out = np.empty((len(offsets) - 1, size), dtype=np.uint32)
+    out = np.empty((len(offsets) - 1, size), dtype=np.uint16)
     begins = offsets[:-1]
     for k in range(size):
         hashed = ((values ^ shift[k]) * scale[k] >> np.uint64(32)).astype(np.uint32)
-        out[:, k] = np.minimum.reduceat(hashed, begins)
+        out[:, k] = np.minimum.reduceat(hashed, begins) & np.uint32(0xFFFF)
     return out
 
 
@@ -150,10 +155,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, config: NearDupConfig) -> Data
                     [batch.column(0).slice(first, len(offsets) - 1), items], names=["key", "items"]
                 )
 
-    rows = texts(docs).withColumn("text_key", text_key()).withColumnRenamed("doc_id", "_doc")
-    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (rows["text_key"] == wanted["text_key"])
-    picked = rows.join(wanted, same).select("key", "text").dropDuplicates(["key"])
-    return picked.mapInArrow(run, "key binary, items array<long>")
+    # A null id may meet the id -1 here: with equal texts either row gives the set.
+    place = F.coalesce("doc_id", F.lit(-1)).alias("doc_id")
+    wanted = materialise(wanted.select(place, "text_key", "key"), "wanted")
+    some, _ = split_by_ids(texts(docs).select(place, "text"), wanted)
+    rows = some.withColumn("text_key", text_key())
+    picked = rows.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    return picked.select("key", "text").mapInArrow(run, "key binary, items array<long>")
 
 
 def least_matches(config: NearDupConfig) -> list[tuple[int, int]]:
@@ -180,7 +188,7 @@ def survivors(pairs: DataFrame, sigs: DataFrame, config: NearDupConfig) -> DataF
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_in:
             left, right = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint32).reshape(-1, config.values)
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, config.values)
                 for k in (2, 3)
             )
             alive, matches, done = np.arange(len(left)), np.zeros(len(left), np.int64), 0
@@ -231,46 +239,96 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _ordered_pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
-    return rows.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct()
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's leader.
+
+    The leader is the member with the most company over all its buckets, which in a group of edited copies
+    is close to the original.
+    """
+    leaders = members.groupBy("band").agg(F.max(F.struct("company", "key")).alias("top"))
+    joined = members.join(leaders.select("band", F.col("top.key").alias("leader")), "band").filter(F.col("key") != F.col("leader"))
+    return joined.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
-def star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): members of a bucket that holds several components, with the bucket's leader.
+def hubs(links: DataFrame, company: DataFrame) -> DataFrame:
+    """(key, comp): the linked key with the most company, itself included, and then that key's own one.
 
-    The first leader is the member with the most company over all its buckets, which in a group of edited copies
-    is close to the original; later ones are pseudo-random members.
+    Keys with the same ``comp`` are in one component; the reverse need not hold yet.
     """
-    rank = F.col("company") if turn == 0 else F.xxhash64("key", "band", F.lit(turn))
-    leaders = (
-        members.groupBy("band")
-        .agg(F.max(F.struct(rank, "key", "comp")).alias("top"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        .filter(F.col("low") != F.col("high"))
-        .select("band", F.col("top.key").alias("leader"), F.col("top.comp").alias("leader_comp"))
-    )
-    joined = members.join(leaders, "band").filter(F.col("comp") != F.col("leader_comp"))
-    return _ordered_pairs(joined, "key", "leader")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(company.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.max(F.struct("company", F.col("b").alias("hub"))).alias("top"))
+    own = near.join(company, "key").select("key", F.greatest("top", F.struct("company", F.col("key").alias("hub")))["hub"].alias("hub"))
+    own = materialise(own, "hubs")
+    above = own.select(F.col("key").alias("hub"), F.col("hub").alias("comp"))
+    return own.join(above, "hub", "left").select("key", F.coalesce("comp", "hub").alias("comp"))
+
 
+def blocks(members: DataFrame, sigs: DataFrame, block: int) -> DataFrame:
+    """(band, slot, part, parts, outside, items): the buckets with several components, cut into parts of about ``block`` members.
 
-def open_buckets(members: DataFrame) -> DataFrame:
-    """(band, major, rows, rest) of the buckets with several components; ``major`` is the largest."""
+    ``outside`` marks the members that are not in the bucket's largest component.
+    """
     sizes = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    per = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("rows"))
-    return per.filter(F.col("top.n") < F.col("rows")).select(
-        "band", F.col("top.comp").alias("major"), "rows", (F.col("rows") - F.col("top.n")).alias("rest")
+    opened = (
+        sizes.groupBy("band")
+        .agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("rows"))
+        .filter(F.col("top.n") < F.col("rows"))
+        .select("band", F.col("top.comp").alias("major"), F.ceil(F.col("rows") / block).alias("parts"))
+    )
+    there = members.join(opened, "band").join(sigs, "key")
+    there = there.withColumn("part", F.pmod(F.xxhash64("key"), "parts")).withColumn("outside", F.col("comp") != F.col("major"))
+    return there.groupBy("band", "slot", "part", "parts").agg(
+        F.max("outside").alias("outside"), F.collect_list(F.struct("key", "comp", "outside", "sig")).alias("items")
     )
 
 
-def cross_pairs(members: DataFrame, opened: DataFrame) -> DataFrame:
-    """All pairs of different components within a bucket, each with a member outside the largest one."""
-    there = members.join(opened.select("band", "major"), "band")
-    outside = there.filter(F.col("comp") != F.col("major")).select(
-        "band", F.col("key").alias("x"), F.col("comp").alias("x_comp")
-    )
-    joined = outside.join(there.select("band", "key", "comp", "major"), "band").filter(
-        (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("key")))
-    )
-    return _ordered_pairs(joined, "x", "key")
+def block_survivors(cut: DataFrame, config: NearDupConfig) -> DataFrame:
+    """The pairs (a, b) of different components that share a bucket and are not pruned.
+
+    Whole blocks of signatures are compared in a task, so rows are made for survivors only. A pair that shares
+    several buckets comes from the first of them.
+    """
+    steps = least_matches(config)
+
+    def unpack(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        items = column[row].values
+        sig = np.frombuffer(b"".join(items.field("sig").to_pylist()), dtype=np.uint16).reshape(-1, config.values)
+        comp = np.array(items.field("comp").to_pylist(), dtype=object)
+        return np.array(items.field("key").to_pylist(), dtype=object), comp, items.field("outside").to_numpy(zero_copy_only=False), sig
+
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_in:
+            one, two = [], []
+            for row in range(batch.num_rows):
+                slot = batch.column(0)[row].as_py()
+                same = batch.column(1)[row].as_py()
+                key_a, comp_a, out_a, sig_a = unpack(batch.column(2), row)
+                key_b, comp_b, out_b, sig_b = (key_a, comp_a, out_a, sig_a) if same else unpack(batch.column(3), row)
+                wanted = (comp_a[:, None] != comp_b[None, :]) & (out_a[:, None] | out_b[None, :])
+                if same:
+                    wanted = np.triu(wanted, 1)
+                left, right = np.nonzero(wanted)
+                matches, done = np.zeros(len(left), np.int64), 0
+                for n, least in steps:
+                    matches = matches + (sig_a[left, done:n] == sig_b[right, done:n]).sum(axis=1)
+                    keep = matches >= least
+                    left, right, matches, done = left[keep], right[keep], matches[keep], n
+                before = slot * config.rows
+                if before and len(left):
+                    agree = (sig_a[left, :before] == sig_b[right, :before]).reshape(len(left), slot, config.rows).all(axis=2)
+                    fresh = ~agree.any(axis=1)
+                    left, right = left[fresh], right[fresh]
+                one.extend(key_a[left])
+                two.extend(key_b[right])
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary())], names=["a", "b"])
+
+    alone = cut.filter("outside").select("slot", F.lit(True).alias("same"), "items", F.col("items").alias("others"))
+    many = cut.filter("parts > 1")
+    other = many.select("band", F.col("part").alias("part_2"), F.col("outside").alias("outside_2"), F.col("items").alias("others"))
+    crossed = many.join(other, "band").filter((F.col("part") < F.col("part_2")) & (F.col("outside") | F.col("outside_2")))
+    alone = alone.withColumn("others", F.slice("others", 1, 0))
+    rows = alone.unionByName(crossed.select("slot", F.lit(False).alias("same"), "items", "others"))
+    return rows.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 @dataclass
@@ -285,7 +343,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     """Class, component and representative of every document.
 
     ``documents``: doc_id, text_key, key (of the class), n_shingles, component_id (smallest id reachable), kept (the id is its component's).
-    ``links`` holds every link that joined two components, not those within a component.
+    ``links`` holds the links that decide the components, not all within one.
     """
     rows = materialise(describe(docs, config), "shingled")
     classes = (
@@ -295,69 +353,42 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     )
     classes = materialise(classes, "classes")
     sigs = classes.select("key", "sig")
-    width = config.rows * 4
-    band = F.expr(
-        f"transform(sequence(0, {config.bands - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"
-    )
-    bands = sigs.select("key", F.explode(band).alias("band"))
+    width = config.rows * 2
+    band = F.expr(f"transform(sequence(0, {config.bands - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")
+    bands = sigs.select("key", F.posexplode(band).alias("slot", "band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialise(bands.join(sizes, "band"), "buckets")
-    company = shared.groupBy("key").agg(F.sum("n").alias("company"))
+    company = materialise(shared.groupBy("key").agg(F.sum("n").alias("company")), "company")
     wanted = classes.join(company, "key").select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"))
     sets = materialise(full_sets(docs, wanted, config), "sets")
-    placed = materialise(shared.select("band", "key").join(company, "key"), "members")
-    n_placed = placed.count()
-
-    links = None
-    tested = None
-    comps = None
-    turn = 0
-    while n_placed:
-        if comps is None:
-            members = placed.withColumn("comp", F.col("key"))
-        else:
-            members = placed.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        members = materialise(members, "members")
-        opened = materialise(open_buckets(members), "open")
-        # Comparing all that is left is cheap once it is no more than the buckets themselves.
-        left = opened.agg(F.sum(F.col("rows").cast("double") * F.col("rest"))).first()[0] or 0.0
-        last = left <= 2.0 * n_placed or turn >= _STAR_ROUNDS
-        pairs = cross_pairs(members, opened) if last else star_pairs(members, turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        found = materialise(confirmed(survivors(pairs, sigs, config), sets, config), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found.isEmpty():
-            comps = components(links)
-        elif turn:
-            turn = _STAR_ROUNDS
-        turn += 1
-        if last:
-            break
+    placed = shared.select("band", "slot", "key")
+
+    stars = materialise(survivors(star_pairs(placed.join(company, "key")), sigs, config), "survivors")
+    stars = materialise(confirmed(stars, sets, config), "links")
+    comps = hubs(stars, company)
+    members = materialise(placed.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "members")
+    cut = materialise(blocks(members, sigs, config.block), "blocks")
+    rest = materialise(block_survivors(cut, config), "survivors")
+    links = stars.unionByName(confirmed(rest, sets, config))
+    links = materialise(links, "links")
+    comps = components(links)
     labels = classes.select("key", "label")
-    if comps is not None:
-        joined = labels.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        least = joined.groupBy("comp").agg(F.min("label").alias("component_id"))
-        labels = joined.join(least, "comp").select("key", "component_id")
-    else:
-        labels = labels.withColumnRenamed("label", "component_id")
+    joined = labels.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    least = joined.groupBy("comp").agg(F.min("label").alias("component_id"))
+    labels = joined.join(least, "comp").select("key", "component_id")
     out = rows.select("doc_id", "text_key", "n_shingles", "key").join(labels, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "text_key", "key", "n_shingles", component.alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], "a binary, b binary, shared long, united long")
     return NearDups(out, links)
 
 
 def keep_one(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """``docs`` with one document per component; of rows equal in id and text one stays."""
-    kept = near_duplicates(docs, config).documents.filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
-    )
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("text").cast("string")))
-    same = keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_row_key"] == kept["_key"])
-    one = keyed.dropDuplicates(["doc_id", "_row_key"])
-    return one.join(kept.distinct(), same, "left_semi").drop("_row_key")
+    # The null of an id is a key of its own, so the join and the removal of repeats share one shuffle.
+    place = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()]
+    kept = near_duplicates(docs, config).documents.filter("kept")
+    kept = kept.select(place[0].alias("_id"), place[1].alias("_no_id"), F.col("text_key").alias("_row_key"))
+    keys = ["_id", "_no_id", "_row_key"]
+    keyed = docs.withColumns({"_id": place[0], "_no_id": place[1], "_row_key": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
