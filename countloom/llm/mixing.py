@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countloom.functions.ranking import with_running
-from countloom.llm.tables import DOCUMENT_COLUMNS, WORD
+from countloom.llm.tables import DOCUMENT_COLUMNS, WORD, word_slice
 from countloom.storage import materialise
 
 _BINS = 4096
@@ -220,11 +220,6 @@ def mixed_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFra
     rows = rows.dropDuplicates(["doc_id", "_row_key"])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
     joined = rows.join(runs, same)
-    blank = WORD.replace("[^", "[")
-    # Each piece keeps the separators that follow it, so joined pieces give the text back.
-    parts = F.regexp_extract_all("text", F.lit(f"(?:^{blank})?{WORD}{blank.replace('+', '*')}"), F.lit(0))
-    part = F.array_join(F.slice(parts, (F.col("_start") + 1).cast("int"), F.col("_words").cast("int")), "")
-    whole = (F.col("_start") == 0) & (F.col("_words") == F.regexp_count("text", F.lit(WORD)))
     kind = docs.schema["n_chars"].dataType
-    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    out = joined.withColumn("text", word_slice(F.col("_start"), F.col("_words")))
     return out.withColumn("n_chars", F.length("text").cast(kind)).select(*DOCUMENT_COLUMNS)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.tables import WORD, text_key, texts
+from countloom.llm.tables import WORD, text_key, texts, word_slice
 
 
 @dataclass(frozen=True)
@@ -108,3 +108,14 @@ def pack(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
         run,
         "doc_id long, text_key long, chunk int, start int, length int, copy int, bin_group long, bin long, capacity long, position long",
     )
+
+
+def packed_texts(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
+    """``pack`` with the text of every chunk instead of its key."""
+    placed = pack(docs, config).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    rows = texts(docs).withColumn("text_key", text_key()).dropDuplicates(["doc_id", "text_key"])
+    joined = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    text = word_slice(F.col("start"), F.col("length"))
+    return joined.select(
+        "doc_id", "chunk", "start", "length", "copy", "bin_group", "bin", "capacity", "position", text.alias("text")
+    )

@@ -28,3 +28,15 @@ def held(remainder: int, of: int = 5) -> Column:
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def word_slice(start: Column, words: Column) -> Column:
+    """``words`` words of the column text from word ``start`` on, each with the separators that follow it.
+
+    Slices that follow one another therefore join to the whole text.
+    """
+    blank = WORD.replace("[^", "[")
+    parts = F.regexp_extract_all("text", F.lit(f"(?:^{blank})?{WORD}{blank.replace('+', '*')}"), F.lit(0))
+    part = F.array_join(F.slice(parts, (start + 1).cast("int"), words.cast("int")), "")
+    whole = (start == 0) & (words == F.regexp_count("text", F.lit(WORD)))
+    return F.when(whole, F.col("text")).otherwise(part)
