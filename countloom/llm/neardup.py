@@ -4,9 +4,9 @@
    equal sets form one class, so exact copies cost one row from here on.
 2. Signatures are cut into bands; classes that agree in a band share a bucket.
 3. A bucket never becomes all of its pairs. First every member is compared with one leader of its bucket, and
-   members that link with a common hub fall together. Afterwards only pairs of different hubs are left; all of these
+   linked members fall into components. Afterwards only pairs of different components are left; all of these
    are compared, in blocks of signatures of which only survivors leave the task, so no link is
-   lost to a cap. Pairs below one hub cannot change the result.
+   lost to a cap. Pairs within one component cannot change the result.
 4. A compared pair is looked at in batches of signature values. With a uniform prior, the
    posterior of the similarity after m of n agreements is Beta(m + 1, n - m + 1); a pair whose posterior
    probability of reaching the threshold is below ``miss`` is pruned.
@@ -250,19 +250,6 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return joined.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
-def hubs(links: DataFrame, company: DataFrame) -> DataFrame:
-    """(key, comp): the linked key with the most company, itself included, and then that key's own one.
-
-    Keys with the same ``comp`` are in one component; the reverse need not hold yet.
-    """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(company.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.max(F.struct("company", F.col("b").alias("hub"))).alias("top"))
-    own = near.join(company, "key").select("key", F.greatest("top", F.struct("company", F.col("key").alias("hub")))["hub"].alias("hub"))
-    own = materialise(own, "hubs")
-    above = own.select(F.col("key").alias("hub"), F.col("hub").alias("comp"))
-    return own.join(above, "hub", "left").select("key", F.coalesce("comp", "hub").alias("comp"))
-
-
 def blocks(members: DataFrame, sigs: DataFrame, block: int) -> DataFrame:
     """(band, slot, part, parts, outside, items): the buckets with several components, cut into parts of about ``block`` members.
 
@@ -365,7 +352,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
 
     stars = materialise(survivors(star_pairs(placed.join(company, "key")), sigs, config), "survivors")
     stars = materialise(confirmed(stars, sets, config), "links")
-    comps = hubs(stars, company)
+    comps = components(stars)
     members = materialise(placed.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "members")
     cut = materialise(blocks(members, sigs, config.block), "blocks")
     rest = materialise(block_survivors(cut, config), "survivors")
