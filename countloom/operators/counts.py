@@ -2,13 +2,13 @@
 
 Joins here are plain equi-joins without hints: Spark broadcasts a side only
 after checking its size, and adaptive execution splits hot keys otherwise. Per
-key statistics are always aggregated first (combined on the map side) and then
-joined, never computed by a window over the fact rows of a key.
+key statistics are aggregated first (combined on the map side) and then joined; a window over fact
+rows is used only where its groups are bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countloom.functions.vectors import clamp, hashed_order
@@ -43,8 +43,13 @@ def cluster_layer(totals: DataFrame, junctions: DataFrame) -> DataFrame:
 
 
 def with_totals(counts: DataFrame) -> DataFrame:
-    """Stored entries (with ``atse_id``) and their ATSE total n in the same cell."""
-    return counts.join(atse_totals(counts), ["cell_id", "atse_id"])
+    """Stored entries (with ``atse_id``) and their ATSE total n in the same cell.
+
+    A (cell, ATSE) group holds no more entries than the ATSE has junctions, so this window is bounded.
+    """
+    group = Window.partitionBy("cell_id", "atse_id")
+    others = [c for c in counts.columns if c not in ("cell_id", "atse_id")]
+    return counts.select("cell_id", "atse_id", *others, F.sum("y").over(group).alias("n"))
 
 
 def observed_entries(dataset: Dataset, include_zeros: bool = False) -> DataFrame:

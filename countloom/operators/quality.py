@@ -157,7 +157,8 @@ def silhouette_squared_cells(points: DataFrame, dims: int) -> DataFrame:
     row (n, S, Q) per label replaces all pairs.
     """
     norm = F.aggregate(F.col("coords"), F.lit(0.0), lambda acc, v: acc + v * v)
-    base = points.withColumn("_sq", norm)
+    whole = F.size("coords") == dims
+    base = points.withColumn("_sq", F.when(whole, norm).otherwise(F.raise_error(F.lit(f"coords must have {dims} values"))))
     labels = base.groupBy(F.col("label").alias("towards")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("_sq").alias("q"),

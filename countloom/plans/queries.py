@@ -78,14 +78,14 @@ def cluster_layer(spark, sf):
 
 @query(
     Q.with_ctes(*BASE)
-    + """, totals AS (SELECT cell_id, atse_id, sum(y) AS n FROM counts WHERE y > 1 GROUP BY cell_id, atse_id)
+    + """, totals AS (SELECT cell_id, atse_id, sum(y) AS n FROM counts GROUP BY cell_id, atse_id)
     SELECT c.cell_id, c.junction_id, c.y, coalesce(t.n, CAST(0 AS DOUBLE)) AS n
     FROM counts c LEFT JOIN totals t ON c.cell_id = t.cell_id AND c.atse_id = t.atse_id"""
 )
 def observed_entries(spark, sf):
-    """Alignment of the layers; totals come from repeated purchases only, so some are missing."""
+    """Alignment of the layers."""
     counts = I.counts(spark, sf)
-    totals = C.atse_totals(counts.filter("y > 1"))
+    totals = C.atse_totals(counts)
     data = C.Dataset(
         I.cells(spark, sf),
         I.junctions(spark, sf),
@@ -275,10 +275,10 @@ def annotate_junctions(spark, sf):
 
 @query(
     Q.with_ctes(*BASE, Q.JUNCTIONS)
-    + """SELECT DISTINCT junction_id, gene_id AS gene_id FROM counts JOIN junctions USING (junction_id) WHERE y >= 2"""
+    + """SELECT DISTINCT junction_id, gene_id AS gene_id FROM counts JOIN junctions USING (junction_id)"""
 )
 def junction_lookup(spark, sf):
-    return C.lookup(I.counts(spark, sf).filter("y >= 2"), I.junctions(spark, sf), "gene_id")
+    return C.lookup(I.counts(spark, sf), I.junctions(spark, sf), "gene_id")
 
 
 @query(
@@ -844,7 +844,7 @@ it{i} AS (SELECT {i} AS i, p, greatest(CAST(0.1 AS DOUBLE), least(CAST(0.9 AS DO
 
 @query(_em_sql(30))
 def em_fdr(spark, sf):
-    return fdr_em.fit_mixture(I.scores(spark, sf), max_iter=30)[0]
+    return fdr_em.fit_mixture(I.scores(spark, sf))[0]
 
 
 # ---- waypoints and starting factors -------------------------------------------------------
