@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm import mixing, neardup, packing, pii, quality, substring, suffixtree, toxicity
+from countloom.llm import mixing, neardup, packing, pii, quality, substring, suffixtree, toxicity, urllists
 from countloom.llm.tables import documents
 
 
@@ -50,7 +50,21 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch days and list entries are derived from the pages: a host joins a list on a day given by its first page and may leave it."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    start = F.lit("2020-01-01").cast("date")
+    captures = pages.withColumn("fetched", F.date_add(start, (F.col("page_id") * 37 % 1500).cast("int")))
+    hosts = pages.groupBy(urllists.host_of(F.col("url")).alias("domain")).agg(F.min("page_id").alias("first"))
+    name = F.concat(F.lit("list_"), (F.col("first") % 3).cast("string"))
+    joins = hosts.select(name.alias("list_name"), "domain", F.date_add(start, (F.col("first") * 53 % 1200).cast("int")).alias("day"), F.lit(True).alias("listed"))
+    leaves = joins.filter("list_name <> 'list_0'").withColumns({"day": F.date_add("day", 200), "listed": F.lit(False)})
+    found = urllists.evaluate(captures, joins.unionByName(leaves))
+    return found.select("page_id", F.col("fetched").cast("string").alias("fetched"), F.array_join("lists", ",").alias("lists"))
+
+
 QUERIES = {
+    "op4_url_list_asof": op4_url_list_asof,
     "op1_source_mixing": op1_source_mixing,
     "op8_risk_controlled_quality": op8_risk_controlled_quality,
     "op7_pii_crf": op7_pii_crf,
@@ -60,4 +74,20 @@ QUERIES = {
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_suffix_tree_lm": op10_suffix_tree_lm,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_list_asof": r"""
+    WITH captures AS (
+      SELECT page_id, DATE '2020-01-01' + CAST(page_id * 37 % 1500 AS INTEGER) AS fetched,
+             nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host
+      FROM pages),
+    joins AS (
+      SELECT concat('list_', CAST(min(page_id) % 3 AS VARCHAR)) AS list_name, host AS domain,
+             DATE '2020-01-01' + CAST(min(page_id) * 53 % 1200 AS INTEGER) AS valid_from
+      FROM captures WHERE host IS NOT NULL GROUP BY host),
+    hits AS (
+      SELECT DISTINCT page_id, fetched, list_name FROM captures c JOIN joins j
+      ON (c.host = j.domain OR ends_with(c.host, '.' || j.domain))
+      WHERE fetched >= valid_from AND (list_name = 'list_0' OR fetched < valid_from + 200))
+    SELECT c.page_id, CAST(c.fetched AS VARCHAR) AS fetched, coalesce(string_agg(list_name, ',' ORDER BY list_name), '') AS lists
+    FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id GROUP BY c.page_id, c.fetched"""
+}

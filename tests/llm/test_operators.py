@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.llm import mixing, neardup, packing, pii, quality, substring, suffixtree, toxicity
+from countloom.llm import mixing, neardup, packing, pii, quality, substring, suffixtree, toxicity, urllists
 
 from . import brute
 
@@ -283,3 +283,17 @@ def test_empty_tables(spark, labels):
     assert pii.detect(none).count() == 0 and pii.redact(none).count() == 0
     assert suffixtree.score_held_out(none).count() == 0
     assert toxicity.classify(none, labels.limit(0)).count() == 0
+
+
+def test_url_lists(spark):
+    entries = spark.createDataFrame(
+        [("bad", "Example.com", "2021-01-10", True), ("bad", "example.com", "2021-02-10", False), ("bad", "example.com", "2021-03-10", True),
+         ("bad", "example.com", "2021-03-10", True), ("tie", "example.com", "2021-01-10", True), ("tie", "example.com", "2021-01-10", False), ("sub", "a.example.com", "2021-01-01", True), (None, "x.y", "2021-01-01", True)],
+        "list_name string, domain string, day string, listed boolean",
+    )
+    pages = [(1, "http://a.example.com/x", "2021-01-09"), (2, "https://u@EXAMPLE.com:80/", "2021-01-10"), (3, "http://example.com", "2021-02-10"),
+             (4, "http://b.a.example.com?q", "2021-04-01"), (5, "nothing", "2021-04-01"), (6, None, None), (7, "http://notexample.com/", "2021-04-01"), (2, "https://u@EXAMPLE.com:80/", "2021-01-10")]
+    captures = spark.createDataFrame(pages, "page_id long, url string, fetched string")
+    out = sorted((r.page_id, ",".join(r.lists)) for r in urllists.evaluate(captures, entries).collect())
+    assert out == [(1, "sub"), (2, "bad"), (2, "bad"), (3, ""), (4, "bad,sub"), (5, ""), (6, ""), (7, "")]
+    assert urllists.evaluate(captures.limit(0), entries.limit(0)).count() == 0
