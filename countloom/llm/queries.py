@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm import mixing, neardup, packing, pii, quality, substring, suffixtree, toxicity, urllists
+from countloom.llm import media, mixing, neardup, packing, pictures, pii, quality, substring, suffixtree, toxicity, urllists
 from countloom.llm.tables import documents
 
 
@@ -63,7 +63,14 @@ def op4_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("fetched").cast("string").alias("fetched"), F.array_join("lists", ",").alias("lists"))
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pictures of all pages; no table holds images, so they are drawn from the pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return media.image_copies(pictures.pictures(pages))
+
+
 QUERIES = {
+    "op2_image_copies": op2_image_copies,
     "op4_url_list_asof": op4_url_list_asof,
     "op1_source_mixing": op1_source_mixing,
     "op8_risk_controlled_quality": op8_risk_controlled_quality,
