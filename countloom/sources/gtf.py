@@ -29,12 +29,14 @@ def _attributes(text: Column, strip_quotes: bool) -> Column:
 def parse_gtf(lines: DataFrame, feature_type: str = "all", strip_quotes: bool = False) -> DataFrame:
     """GTF lines (column ``value``) to typed rows with an attribute map.
 
-    Comment lines are skipped. ``feature_type`` exon or transcript selects by
+    Comment and blank lines are skipped; a line with fewer than nine fields is an error. ``feature_type`` exon or transcript selects by
     feature, gene_id keeps rows that have this attribute, and any other value
     gives no rows.
     """
     fields = F.split(F.trim(F.col("value")), "\t")
-    rows = lines.filter(~F.col("value").startswith("#")).select(fields.alias("_f")).filter(F.size("_f") >= 9)
+    rows = lines.filter(~F.col("value").startswith("#")).filter(F.trim("value") != "")
+    short = F.raise_error(F.concat(F.lit("GTF line with fewer than 9 fields: "), F.substring("value", 1, 200)))
+    rows = rows.select(F.when(F.size(fields) >= 9, fields).otherwise(short).alias("_f"))
     if feature_type in ("exon", "transcript"):
         rows = rows.filter(F.col("_f")[2] == feature_type)
     elif feature_type not in FEATURE_TYPES:

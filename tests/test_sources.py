@@ -85,3 +85,10 @@ def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
         assert checkpoint_root(spark) == before
     else:
         assert checkpoint_root(spark)
+
+
+def test_gtf_short_line(spark):
+    lines = spark.createDataFrame([("# note",), ("",), ("chr1\tx\texon\t1\t2",)], "value string")
+    with pytest.raises(Exception, match="fewer than 9 fields"):
+        gtf.parse_gtf(lines).collect()
+    assert gtf.parse_gtf(lines.limit(2)).count() == 0
