@@ -7,7 +7,8 @@
    linked members fall into components. Afterwards only pairs of different components are left; all of these
    are compared, in blocks of signatures of which only survivors leave the task, so no link is
    lost to a cap. Pairs within one component cannot change the result.
-4. A compared pair is looked at in batches of signature values. With a uniform prior, the
+4. A compared pair is first held against its set sizes: the similarity is at most smaller / larger, so pairs
+   of too different sizes go at once and without error. Then it is looked at in batches of signature values. With a uniform prior, the
    posterior of the similarity after m of n agreements is Beta(m + 1, n - m + 1); a pair whose posterior
    probability of reaching the threshold is below ``miss`` is pruned.
 5. Survivors are confirmed by the full shingle sets.
@@ -199,9 +200,10 @@ def survivors(pairs: DataFrame, sigs: DataFrame, config: NearDupConfig) -> DataF
             index = pa.array(alive)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(index) for k in (0, 1)], names=["a", "b"])
 
-    one = sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"))
-    two = sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")
+    one = sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a"))
+    two = sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"))
+    near = F.lit(100) * F.least("size_a", "size_b") >= F.lit(config.percent) * F.greatest("size_a", "size_b")
+    both = pairs.join(one, "a").join(two, "b").filter(near).select("a", "b", "sig_a", "sig_b")
     return both.mapInArrow(run, "a binary, b binary")
 
 
@@ -265,7 +267,7 @@ def blocks(members: DataFrame, sigs: DataFrame, block: int) -> DataFrame:
     there = members.join(opened, "band").join(sigs, "key")
     there = there.withColumn("part", F.pmod(F.xxhash64("key"), "parts")).withColumn("outside", F.col("comp") != F.col("major"))
     return there.groupBy("band", "slot", "part", "parts").agg(
-        F.max("outside").alias("outside"), F.collect_list(F.struct("key", "comp", "outside", "sig")).alias("items")
+        F.max("outside").alias("outside"), F.collect_list(F.struct("key", "comp", "outside", "size", "sig")).alias("items")
     )
 
 
@@ -277,11 +279,12 @@ def block_survivors(cut: DataFrame, config: NearDupConfig) -> DataFrame:
     """
     steps = least_matches(config)
 
-    def unpack(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def unpack(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         items = column[row].values
         sig = np.frombuffer(b"".join(items.field("sig").to_pylist()), dtype=np.uint16).reshape(-1, config.values)
         comp = np.array(items.field("comp").to_pylist(), dtype=object)
-        return np.array(items.field("key").to_pylist(), dtype=object), comp, items.field("outside").to_numpy(zero_copy_only=False), sig
+        outside, size = (items.field(name).to_numpy(zero_copy_only=False) for name in ("outside", "size"))
+        return np.array(items.field("key").to_pylist(), dtype=object), comp, outside, size, sig
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_in:
@@ -289,9 +292,11 @@ def block_survivors(cut: DataFrame, config: NearDupConfig) -> DataFrame:
             for row in range(batch.num_rows):
                 slot = batch.column(0)[row].as_py()
                 same = batch.column(1)[row].as_py()
-                key_a, comp_a, out_a, sig_a = unpack(batch.column(2), row)
-                key_b, comp_b, out_b, sig_b = (key_a, comp_a, out_a, sig_a) if same else unpack(batch.column(3), row)
+                key_a, comp_a, out_a, size_a, sig_a = unpack(batch.column(2), row)
+                key_b, comp_b, out_b, size_b, sig_b = (key_a, comp_a, out_a, size_a, sig_a) if same else unpack(batch.column(3), row)
                 wanted = (comp_a[:, None] != comp_b[None, :]) & (out_a[:, None] | out_b[None, :])
+                small, large = np.minimum(size_a[:, None], size_b[None, :]), np.maximum(size_a[:, None], size_b[None, :])
+                wanted &= 100 * small >= config.percent * large
                 if same:
                     wanted = np.triu(wanted, 1)
                 left, right = np.nonzero(wanted)
@@ -336,10 +341,10 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     classes = (
         rows.filter(F.col("key").isNotNull())
         .groupBy("key")
-        .agg(F.min("doc_id").alias("label"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("label"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     )
     classes = materialise(classes, "classes")
-    sigs = classes.select("key", "sig")
+    sigs = classes.select("key", "sig", "size")
     width = config.rows * 2
     band = F.expr(f"transform(sequence(0, {config.bands - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")
     bands = sigs.select("key", F.posexplode(band).alias("slot", "band"))
