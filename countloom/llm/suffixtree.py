@@ -2,18 +2,20 @@
 
 Tokens are lower-cased words and one end token per text. The tree is learned from the training rows:
 
-* Contexts grow one word at a time to the left. A word sequence is a candidate only if it occurs with at least the probability ``least``
-  of all positions, so there are at most 1 / ``least`` candidates per length, whatever the size of the corpus.
-* A context keeps the followers that reach the same probability together with it. It stays in the tree if its
-  distribution differs from its parent's (the context without its first word): count * KL divergence must exceed ``divergence``. An
-  ancestor of a kept context is kept.
+* A word sequence takes part if it occurs at least ``floor`` times, whatever the size of the corpus, so more text gives more contexts.
+* A context is such a sequence of at most ``length`` words; its followers are the words and ends that occur ``floor`` times after it. It stays
+  in the tree if its distribution differs from its parent's (the context without its first word): count * KL divergence must exceed
+  ``divergence``. An ancestor of a kept context is kept.
 * Smoothing: a kept follower x of context c has (count(c, x) - discount) / count(c); the mass that is left goes to all other
   words in proportion to the parent's distribution. The root has (c + 0.5) / (N + 0.5 * (V + 1)) for a word seen c times.
 * A token is predicted from the longest context in the tree that ends just before it.
 
-Counting and scoring run over all rows. The tree is bounded (lengths / least entries) and broadcast. The counts of words are
-not bounded: the most frequent ``head`` words (a fixed number) are broadcast, and the other words of every text meet
-their counts in a join.
+Followers of a context also follow its parent, and ancestors are kept. So the score of a token is its root score plus one term for each word
+sequence of up to ``length`` + 1 tokens that ends with it or just before it: a term for having the context, and one for the follower. The
+terms of all sequences are a table that grows with the corpus. Those of sequences with at least the probability ``least`` (at most
+(length + 1) / least) are broadcast, and the others meet the sequences of the texts in a join; where the line lies changes no result. In the same way
+the most frequent ``head`` words are broadcast and the other words of every text are joined. A bit table of fixed size keeps sequences that
+certainly have no entry out of the shuffles; it lets more rows through as the corpus grows and turns none away wrongly.
 
 Defined results: a null or empty text has one token, the end. A null id is not held out. Only ``doc_id`` and ``text`` are read.
 Without training rows N and V are 0 and every token has probability 1 at the root, as the formula says.
@@ -21,7 +23,6 @@ Without training rows N and V are 0 and every token has probability 1 at the roo
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ END = np.uint64(0x5EED0E2D)
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """``least``: probability of a word sequence from which it takes part; ``floor``: and its least count."""
+    """``floor``: count of a word sequence from which it takes part; ``least``: its probability from which its term is broadcast."""
 
     length: int = 3
     least: float = 1e-5
@@ -63,14 +64,37 @@ def tokens(chunk: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of the sequence that has ``word`` before ``context``; an empty context is 0."""
-    return mix(context * BASE + word)
+def joined_key(context: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Key of the sequence whose tokens but the last are ``context`` and whose tokens but the first are ``below``."""
+    return mix((context ^ np.uint64(0xA5A5A5A5)) * BASE + below)
 
 
-def followed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Hash of a context together with its follower."""
-    return mix((context ^ np.uint64(0xA5A5A5A5)) + token * BASE)
+def sequences(words: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, whether it lies in its text) of the sequence of ``length`` tokens that ends at every token."""
+    key = words.copy()
+    for _ in range(1, length):
+        key[1:] = joined_key(key[:-1], key[1:])
+    inside = np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return key, inside >= length - 1
+
+
+#: Bits of a sieve.
+_SIEVE = 1 << 26
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """Bits set for the column ``key``; a key whose bit is not set is certainly not among them."""
+    place = keys.select((F.col("key").bitwiseAND(F.lit(_SIEVE - 1))).alias("p"))
+    words = place.selectExpr("cast(shiftright(p, 6) as int) AS word", "shiftleft(1L, cast(p & 63 as int)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(_SIEVE // 64, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return table.view(np.uint64)
+
+
+def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64(_SIEVE - 1)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 class Lookup:
@@ -108,168 +132,131 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def contexts_of(words: np.ndarray, offsets: np.ndarray, lookup: Lookup, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every token the context of exactly ``length`` words before it in its text, 0 if there is none or it is not in ``lookup``."""
-    at = np.arange(len(words))
-    inside = at - np.repeat(offsets[:-1], np.diff(offsets))
-    context = np.zeros(len(words), np.uint64)
-    for k in range(1, length + 1):
-        context[k:] = longer(context[k:], words[:-k] if k else words)
-    known = inside >= length
-    known[known] = lookup.find(context[known]) >= 0
-    return context, known
-
-
-def sequence_counts(rows: DataFrame, contexts: np.ndarray, length: int, frequent: np.ndarray, least: float) -> DataFrame:
-    """(key, context, token, n): followers of the contexts of ``length`` words that reach ``least`` occurrences.
+def sequence_counts(rows: DataFrame, length: int, shorter: DataFrame, floor: int) -> DataFrame:
+    """(key, context, below, n): the sequences of ``length`` tokens that occur ``floor`` times, without the last token and without the first.
 
-    Only followers that are frequent words by themselves can reach it.
+    Both shorter sequences are then in ``shorter`` as well.
     """
-    model = rows.sparkSession.sparkContext.broadcast((contexts, frequent))
+    model = rows.sparkSession.sparkContext.broadcast(sieve(shorter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, often = Lookup(model.value[0]), Lookup(model.value[1])
+        bits = model.value
 
         def each(words, offsets):
-            context, known = contexts_of(words, offsets, near, length)
-            known[known] = often.find(words[known]) >= 0
-            return followed(context[known], words[known]), context[known], words[known]
+            below, _ = sequences(words, offsets, length - 1)
+            key, able = sequences(words, offsets, length)
+            may = may_have(bits, below)
+            able[1:] &= may[:-1]
+            at = np.flatnonzero(able & may)
+            return key[at], below[at - 1], below[at]
 
         for batch in batches:
-            yield from _counted(batch.column(0), each)
+            for counted in _counted(batch.column(0), each):
+                yield counted.select(["part_0", "part_1", "n"])
 
-    found = rows.select("text").mapInArrow(run, "key long, part_0 long, part_1 long, n long")
-    summed = found.groupBy("key").agg(F.first("part_0").alias("context"), F.first("part_1").alias("token"), F.sum("n").alias("n"))
-    return summed.filter(F.col("n") >= least)
+    found = rows.select("text").mapInArrow(run, "part_0 long, part_1 long, n long")
+    # The key follows from the two parts, so the shuffle does without it.
+    summed = found.groupBy(F.col("part_0").alias("context"), F.col("part_1").alias("below")).agg(F.sum("n").alias("n"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, below = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(joined_key(context, below).view(np.int64)), *batch.columns], names=["key", "context", "below", "n"]
+            )
+
+    return summed.filter(F.col("n") >= floor).mapInArrow(named, "key long, context long, below long, n long")
 
 
 @dataclass
 class Tree:
-    """Kept contexts with their log10 mass for words that are not kept followers, and the followers' log10 probabilities.
+    """``terms`` (key, n, depth, value): log10 term of every sequence; ``depth`` is its length if it is a kept context, or else 0.
 
-    ``weight[i]``: log10 of the factor from the parent's probability to that of context i for any other word.
+    ``keys`` and ``values`` are the terms of the frequent sequences, ``contexts`` and ``depth`` the kept contexts among these; ``tail``
+    has the other terms, or is None if there are none.
     """
 
+    terms: DataFrame
+    tail: DataFrame | None
+    keys: np.ndarray
+    values: np.ndarray
     contexts: np.ndarray
-    parent: np.ndarray
     depth: np.ndarray
-    weight: np.ndarray
-    pairs: np.ndarray
-    pair_log: np.ndarray
 
 
 def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
-    """A table whose size is bounded by the tree, as columns."""
+    """A table of bounded size as columns."""
     found = table.toArrow()
     return {c: found[c].to_numpy() for c in found.column_names}
 
 
 def learn(rows: DataFrame, config: TreeConfig, counts: DataFrame, total: int, distinct: int) -> Tree:
     """The tree of the training texts ``rows``, whose token counts are ``counts``."""
-    least = max(config.least * total, config.floor)
-    often = _arrays(counts.filter(F.col("n") >= least))
-    words = often["key"].view(np.uint64) if len(often["key"]) else np.zeros(0, np.uint64)
-    word_n = dict(zip(words.tolist(), often["n"].tolist()))
-    scale = total + 0.5 * (distinct + 1)
-
-    def root(token: int) -> float:
-        return (word_n.get(token, 0) + 0.5) / scale
-
-    # Level 1: the words themselves; their parent is the root.
-    spoken = words[words != END]
-    hashes = longer(np.zeros(len(spoken), np.uint64), spoken)
-    level = {int(h): (0, int(word_n[int(w)]), (int(w),)) for h, w in zip(hashes, spoken)}
-    nodes: dict[int, tuple[int, int, dict[int, float], float]] = {}
-
-    def probability(context: int, token: int) -> float:
-        factor = 1.0
-        while context in nodes:
-            parent, _, followers, share = nodes[context]
-            if token in followers:
-                return factor * followers[token]
-            factor *= share
-            context = parent
-        return factor * root(token)
-
-    needed: set[int] = set()
+    scale = float(total + 0.5 * (distinct + 1))
+    root = ((F.col("n") + F.lit(0.5)) / F.lit(scale)).alias("p")
+    level = counts.filter(F.col("n") >= config.floor).select("key", F.lit(None).cast("long").alias("below"), "n", root)
+    followers, nodes = [], []
     for length in range(1, config.length + 1):
-        if not level:
-            break
-        found = _arrays(sequence_counts(rows, np.array(list(level), dtype=np.uint64), length, words, least))
-        by_context: dict[int, dict[int, int]] = {}
-        for c, t, n in zip(found["context"].view(np.uint64).tolist(), found["token"].view(np.uint64).tolist(), found["n"].tolist()):
-            by_context.setdefault(c, {})[t] = n
-        following: dict[int, tuple[int, int, tuple[int, ...]]] = {}
-        for context, (parent, seen, sequence) in level.items():
-            followers = by_context.get(context, {})
-            seen = max(seen, sum(followers.values()))
-            below = {t: probability(parent, t) for t in followers}
-            kept = {t: (n - config.discount) / seen for t, n in followers.items()}
-            rest, rest_below = 1 - sum(kept.values()), 1 - sum(below.values())
-            if rest <= 0 or rest_below <= 0:
-                rest, rest_below = max(rest, config.discount / seen), max(rest_below, 1e-12)
-            gain = sum(p * math.log(p / below[t]) for t, p in kept.items()) + rest * math.log(rest / rest_below)
-            nodes[context] = (parent, length, kept, rest / rest_below)
-            if kept and seen * gain > config.divergence:
-                up = context
-                while up and up not in needed:
-                    needed.add(up)
-                    up = nodes[up][0]
-            for t, n in followers.items():
-                if t != int(END):
-                    grown = (*sequence, t)
-                    key = 0
-                    for w in reversed(grown):
-                        key = int(longer(np.array([key], np.uint64), np.array([w], np.uint64))[0])
-                    above = 0
-                    for w in reversed(grown[1:]):
-                        above = int(longer(np.array([above], np.uint64), np.array([w], np.uint64))[0])
-                    following[key] = (above, n, grown)
-        # A context hangs below the same context without its first word.
-        level = {k: v for k, v in following.items() if v[0] in nodes}
-    kept_nodes = [(c, nodes[c]) for c in nodes if c in needed]
-    place = {c: k for k, (c, _) in enumerate(kept_nodes)}
-    pairs, logs = [], []
-    for context, (_, _, followers, _) in kept_nodes:
-        pairs += [(context, t) for t in followers]
-        logs += [math.log10(p) for p in followers.values()]
-    pair_keys = np.array(pairs, dtype=np.uint64).reshape(-1, 2)
+        # ``level`` has the sequences of ``length`` tokens: the contexts, and the followers of their parents.
+        found = materialise(sequence_counts(rows, length + 1, level, config.floor), "sequences")
+        seen = level.select(F.col("key").alias("context"), F.col("below").alias("parent"), F.col("n").alias("seen"))
+        under = level.select(F.col("key").alias("below"), F.col("p").alias("q"))
+        joined = found.join(seen, "context").join(under, "below")
+        longer = materialise(joined.withColumn("p", (F.col("n") - F.lit(config.discount)) / F.col("seen")), "followers")
+        sums = longer.groupBy("context").agg(
+            F.first("parent").alias("parent"),
+            F.first("seen").alias("seen"),
+            (1 - F.sum("p")).alias("rest"),
+            (1 - F.sum("q")).alias("rest_below"),
+            F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("gain"),
+        )
+        bad = (F.col("rest") <= 0) | (F.col("rest_below") <= 0)
+        sums = sums.withColumns(
+            {
+                "rest": F.when(bad, F.greatest("rest", F.lit(config.discount) / F.col("seen"))).otherwise(F.col("rest")),
+                "rest_below": F.when(bad, F.greatest("rest_below", F.lit(1e-12))).otherwise(F.col("rest_below")),
+            }
+        )
+        share = F.col("rest") / F.col("rest_below")
+        strong = F.col("seen") * (F.col("gain") + F.col("rest") * F.log(share)) > config.divergence
+        nodes.append(materialise(sums.select("context", "parent", "seen", F.log10(share).alias("weight"), strong.alias("strong")), "contexts"))
+        followers.append(longer)
+        level = longer
+    terms = needed = None
+    for length in range(config.length, 0, -1):
+        kept = nodes[length - 1]
+        if needed is not None:
+            kept = kept.join(needed.withColumn("needed", F.lit(True)), "context", "left").filter("strong OR needed").drop("needed")
+        else:
+            kept = kept.filter("strong")
+        kept = materialise(kept, "kept")
+        needed = kept.select(F.col("parent").alias("context")).distinct()
+        own = kept.select(F.col("context").alias("key"), F.col("seen").alias("n"), F.lit(length).alias("depth"), F.col("weight").alias("value"))
+        more = followers[length - 1].join(kept.select("context", "weight"), "context")
+        more = more.select("key", "n", F.lit(0).alias("depth"), (F.log10(F.col("p") / F.col("q")) - F.col("weight")).alias("value"))
+        both = own.unionByName(more)
+        terms = both if terms is None else terms.unionByName(both)
+    summed = terms.groupBy("key").agg(F.max("n").alias("n"), F.max("depth").alias("depth"), F.sum("value").alias("value"))
+    terms = materialise(summed, "terms")
+    frequent = F.col("n") >= config.least * total
+    head = _arrays(terms.filter(frequent))
+    tail = terms.filter(~frequent)
+    keys, contexts = head["key"].astype(np.int64).view(np.uint64), head["depth"] > 0
     return Tree(
-        np.array([c for c, _ in kept_nodes], dtype=np.uint64),
-        np.array([place.get(v[0], -1) for _, v in kept_nodes], dtype=np.int64),
-        np.array([v[1] for _, v in kept_nodes], dtype=np.int64),
-        np.array([math.log10(v[3]) for _, v in kept_nodes]),
-        followed(pair_keys[:, 0], pair_keys[:, 1]),
-        np.array(logs),
+        terms, None if tail.isEmpty() else tail, keys, head["value"].astype(np.float64), keys[contexts], head["depth"][contexts].astype(np.int64)
     )
 
 
-def tree_logs(words: np.ndarray, offsets: np.ndarray, tree: Tree, nodes: Lookup, pairs: Lookup, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 part from the tree, whether the root's probability has to be added) of every token."""
-    n = len(words)
-    inside = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    state = np.full(n, -1)
-    context = np.zeros(n, np.uint64)
-    for k in range(1, length + 1):
-        context[k:] = longer(context[k:], words[:-k])
-        able = np.flatnonzero(inside >= k)
-        found = nodes.find(context[able])
-        state[able[found >= 0]] = found[found >= 0]
-    logs, open_at = np.zeros(n), np.arange(n)
-    root = np.zeros(n, bool)
-    while len(open_at):
-        at_root = state[open_at] < 0
-        root[open_at[at_root]] = True
-        open_at = open_at[~at_root]
-        here = state[open_at]
-        hit = pairs.find(followed(tree.contexts[here], words[open_at])) if len(open_at) else np.zeros(0, np.int64)
-        got = hit >= 0
-        logs[open_at[got]] += tree.pair_log[hit[got]]
-        missed = open_at[~got]
-        logs[missed] += tree.weight[state[missed]]
-        state[missed] = tree.parent[state[missed]]
-        open_at = missed
-    return logs, root
+def _uses(keys: np.ndarray, owner: np.ndarray, texts_here: int) -> pa.Array:
+    """Per text its distinct keys with their number of uses."""
+    order = np.lexsort((keys, owner))
+    of, key = owner[order], keys[order]
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+    begin = np.flatnonzero(fresh)
+    uses = np.diff(np.append(begin, len(of)))
+    bounds = np.searchsorted(of[begin], np.arange(texts_here + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(key[begin].view(np.int64)), pa.array(uses)], names=["key", "uses"]))
 
 
 def score(docs: DataFrame, training: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
@@ -281,11 +268,12 @@ def score(docs: DataFrame, training: DataFrame, config: TreeConfig = TreeConfig(
     head = _arrays(counts.orderBy(F.desc("n"), "key").limit(config.head))
     scale = total + 0.5 * (distinct + 1)
     context = docs.sparkSession.sparkContext
-    model = context.broadcast((tree, head["key"].astype(np.int64), head["n"].astype(np.int64)))
+    rest = None if tree.tail is None else sieve(tree.tail)
+    model = context.broadcast((tree.keys, tree.values, sieve(tree.terms), rest, head["key"].astype(np.int64), head["n"].astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, n = model.value
-        common, nodes, pairs = Lookup(keys.view(np.uint64)), Lookup(tree.contexts), Lookup(tree.pairs)
+        found_keys, values, any_bits, tail_bits, keys, n = model.value
+        common, known = Lookup(keys.view(np.uint64)), Lookup(found_keys)
         n = np.append(n, 0)
         root_log = np.log10((n + 0.5) / scale)
         for batch in batches:
@@ -293,53 +281,65 @@ def score(docs: DataFrame, training: DataFrame, config: TreeConfig = TreeConfig(
                 words, offsets = tokens(chunk)
                 at = common.find(words)
                 tail = at < 0
-                logs, root = tree_logs(words, offsets, tree, nodes, pairs, config.length)
                 base = np.where(tail, 0.0, root_log[at])
-                own = logs + np.where(root, base, 0.0)
-                # Unknown so far: the words outside the head, each once per text with its number of uses.
+                own = base.copy()
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                order = np.lexsort((words[tail], owner[tail]))
-                of, word, by_root = owner[tail][order], words[tail][order], root[tail][order]
-                fresh = np.ones(len(of), bool)
-                fresh[1:] = (of[1:] != of[:-1]) | (word[1:] != word[:-1])
-                begin = np.flatnonzero(fresh)
-                uses = np.add.reduceat(np.ones(len(of), np.int64), begin) if len(of) else np.zeros(0, np.int64)
-                rooted = np.add.reduceat(by_root.astype(np.int64), begin) if len(of) else np.zeros(0, np.int64)
-                bounds = np.searchsorted(of[begin], np.arange(len(offsets))).astype(np.int32)
-                rare = pa.StructArray.from_arrays(
-                    [pa.array(word[begin].view(np.int64)), pa.array(uses), pa.array(rooted)], names=["key", "uses", "rooted"]
-                )
+                # Unknown so far: the words and the sequences outside the broadcast heads, each once per text with its number of uses.
+                open_keys, open_owner = [], []
+                for length in range(1, config.length + 2):
+                    key, able = sequences(words, offsets, length)
+                    place = np.flatnonzero(able & may_have(any_bits, key))
+                    hit = known.find(key[place])
+                    got = hit >= 0
+                    own[place[got]] += values[hit[got]]
+                    if tail_bits is not None:
+                        place = place[~got]
+                        place = place[may_have(tail_bits, key[place])]
+                        open_keys.append(key[place])
+                        open_owner.append(owner[place])
                 size = chunk.last - chunk.first
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(chunk.first, size),
                         batch.column(2).slice(chunk.first, size),
+                        batch.column(3).slice(chunk.first, size),
                         pa.array(np.diff(offsets)),
                         pa.array(np.add.reduceat(~tail & (n[at] > 0), offsets[:-1], dtype=np.int64)),
                         pa.array(np.add.reduceat(base, offsets[:-1])),
                         pa.array(np.add.reduceat(own, offsets[:-1])),
-                        pa.ListArray.from_arrays(pa.array(bounds), rare),
+                        _uses(words[tail], owner[tail], size),
+                        _uses(np.concatenate(open_keys), np.concatenate(open_owner), size) if open_keys else _uses(words[:0], owner[:0], size),
                     ],
-                    names=["doc_id", "text_key", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    names=["doc_id", "text_key", "row", "n_tokens", "n_known", "base_score", "score", "rare", "longer"],
                 )
 
-    rows = texts(docs).select("doc_id", "text", text_key().alias("text_key"))
+    # The rows are numbered in the written table, so equal rows stay apart.
+    rows = texts(docs).select("doc_id", "text", text_key().alias("text_key"), F.monotonically_increasing_id().alias("row"))
     first = rows.mapInArrow(
         run,
-        "doc_id long, text_key long, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<struct<key: long, uses: long, rooted: long>>",
+        "doc_id long, text_key long, row long, n_tokens long, n_known long, base_score double, score double, "
+        "rare array<struct<key: long, uses: long>>, longer array<struct<key: long, uses: long>>",
     )
     first = materialise(first, "scores")
-    spread = first.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("rare").alias("r"))
-    met = spread.select("doc_id", "text_key", "r.*").join(counts, "key", "left")
+    def spread(column: str) -> DataFrame:
+        return first.select("row", F.explode(column).alias("r")).select("row", "r.*")
+
     log = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(scale)))
-    added = met.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(
-        F.sum(F.when(F.col("n") > 0, F.col("uses")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("uses") * log).alias("more_base"),
-        F.sum(F.col("rooted") * log).alias("more_score"),
+    met = spread("rare").join(counts, "key", "left").select(
+        "row",
+        F.when(F.col("n") > 0, F.col("uses")).otherwise(0).alias("known"),
+        (F.col("uses") * log).alias("base"),
+        (F.col("uses") * log).alias("own"),
+    )
+    if tree.tail is not None:
+        terms = spread("longer").join(tree.tail.select("key", "value"), "key")
+        met = met.unionByName(
+            terms.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("uses") * F.col("value")).alias("own"))
+        )
+    added = met.groupBy("row").agg(
+        F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("own").alias("more_score")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))
-    return first.join(added, same, "left").select(
+    return first.drop("rare", "longer").join(added, "row", "left").select(
         "doc_id",
         "text_key",
         "n_tokens",

@@ -256,6 +256,20 @@ def test_suffix_tree_is_a_distribution(spark):
     assert scored[0] > scored[1] + 200
 
 
+def test_suffix_tree_does_not_depend_on_the_size_of_the_corpus(spark):
+    """A phrase seen 60 times keeps its contexts when other text makes it improbable, and scores do not depend on what is broadcast."""
+    rng = random.Random(7)
+    phrase = [(k, f"alpha beta gamma delta {brute.prose(rng, 5, 50)}", "en", "a", 0) for k in range(60)]
+    more = [(1000 + k, brute.prose(rng, 300, 50), "en", "a", 0) for k in range(60)]
+    few, many = brute.frame(spark, phrase), brute.frame(spark, phrase + more)
+    scores = {}
+    for least in (1e-2, 1e-9):
+        found = suffixtree.score(few, many, suffixtree.TreeConfig(least=least)).collect()
+        scores[least] = {r.doc_id: (r.score, r.base_score) for r in found}
+    assert all(own > base + 4 for own, base in scores[1e-2].values())
+    assert {i: round(v[0], 6) for i, v in scores[1e-2].items()} == {i: round(v[0], 6) for i, v in scores[1e-9].items()}
+
+
 def test_toxicity(spark, docs, labels):
     out = toxicity.classify(docs, labels, config=toxicity.NetConfig(buckets=1 << 12, epochs=1)).collect()
     assert len(out) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
