@@ -5,9 +5,10 @@ rest. Chunks are dealt by a hash into groups of bounded expected size, and each
 first:
 
 * A chunk goes to the open bin with the least room that still holds it (best fit).
-* If none does, a bin is opened whose size has the least cost per word among the permitted sizes that hold the chunk. The cost of a
-  sequence of n words is n * (1 + n / ``quadratic``) + ``overhead``, so neither the shortest nor the longest length wins by
-  itself.
+* If none does, a bin is opened whose size has the least expected cost per packed word among the permitted sizes that hold the chunk. The
+  cost of a sequence of n words is n * (1 + n / ``quadratic``) + ``overhead``. Its expected contents are the chunk and what of the chunks
+  still to be placed would go into it, longest first; the cost is that of the least length that holds them. So a size wins by what it
+  will hold, and equal chunks may open different sizes.
 * In the end every bin is downsized to the least permitted length that holds its contents.
 
 The packing of a group depends on its chunks only, so a retried task repeats it, and a group has thousands of chunks, so
@@ -57,13 +58,30 @@ def chunks(docs: DataFrame, config: PackConfig) -> DataFrame:
 def pack_group(lengths: np.ndarray, config: PackConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of every item and the final size of every bin; ``lengths`` must not rise."""
     sizes = sorted(config.lengths)
-    opened = {}
+    ahead, remaining = np.unique(lengths, return_counts=True)
+    ahead, left_of = ahead.tolist(), dict(zip(ahead.tolist(), remaining.tolist()))
+
+    def expected_cost(length: int, size: int) -> float:
+        room, upper = size - length, size
+        while room:
+            k = bisect.bisect_right(ahead, min(room, upper))
+            if not k:
+                break
+            upper = ahead[k - 1]
+            room -= min(left_of[upper], room // upper) * upper
+            upper -= 1
+        used = size - room
+        return config.cost(sizes[bisect.bisect_left(sizes, used)]) / used
+
     rooms: list[int] = []
     stacks: dict[int, list[int]] = {}
     used: list[int] = []
     bins = np.empty(len(lengths), np.int64)
     offsets = np.empty(len(lengths), np.int64)
     for i, length in enumerate(lengths.tolist()):
+        left_of[length] -= 1
+        if not left_of[length]:
+            ahead.pop()
         at = bisect.bisect_left(rooms, length)
         if at < len(rooms):
             room = rooms[at]
@@ -73,10 +91,7 @@ def pack_group(lengths: np.ndarray, config: PackConfig) -> tuple[np.ndarray, np.
                 del stacks[room]
                 rooms.pop(at)
         else:
-            if length not in opened:
-                fitting = [s for s in sizes if s >= length]
-                opened[length] = min(fitting, key=lambda s: (config.cost(s) / s, s))
-            room, place = opened[length], len(used)
+            room, place = min((s for s in sizes if s >= length), key=lambda s: (expected_cost(length, s), s)), len(used)
             used.append(0)
         bins[i], offsets[i] = place, used[place]
         used[place] += length

@@ -192,6 +192,18 @@ def test_pack_group_is_best_fit():
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 12, 9, 15] and final.tolist() == [20, 20]
 
 
+def test_pack_group_with_default_config():
+    """Chunks of one length open several sizes by what they will hold, and a bin whose contents went elsewhere is downsized."""
+    import numpy as np
+
+    config = packing.PackConfig()
+    bins, _, final = packing.pack_group(np.full(40, 300), config)
+    assert sorted(final.tolist()) == [512] + [1024] * 13
+    assert sorted(np.bincount(bins).tolist()) == [1] + [3] * 13
+    bins, offsets, final = packing.pack_group(np.array([724, 724, 340, 300, 300]), config)
+    assert sorted(bins.tolist()) == [0, 0, 1, 1, 2] and bins[2] == 2 and final.tolist() == [1024, 1024, 512]
+
+
 def test_pii(spark, docs):
     rows = [
         (1, "mail a.b@c.org, or +1 (743) 555-3824. ip 10.0.0.256 and 1.2.3.4.5", None, None, 0),
