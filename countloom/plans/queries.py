@@ -982,7 +982,7 @@ def waypoint_start(spark, sf):
 @query()
 def pca_coordinates(spark, sf):
     """Four principal coordinates of the centred usage of every cell."""
-    coords, _ = W.principal_components(C.centered_psi(_obs(spark, sf)), "centered", 4, iterations=4)
+    coords, _ = W.principal_components(C.centered_psi(_obs(spark, sf)), "centered", 4, iterations=None)
     return coords.select("cell_id", *[F.col("coords")[i].alias(f"pc_{i + 1}") for i in range(4)])
 
 
@@ -1027,7 +1027,7 @@ def fit_split_sums(spark, sf):
 
 
 def _binomial(**more):
-    return M.FitConfig(k=3, num_epochs=8, concentration=float("inf"), **more)
+    return M.FitConfig(k=3, concentration=float("inf"), **more)
 
 
 @query()
@@ -1039,7 +1039,7 @@ def fit_losses(spark, sf):
 @query()
 def fit_psi(spark, sf):
     """Factors of the beta-binomial model with learned concentration."""
-    return M.fit(_obs(spark, sf), M.FitConfig(k=3, num_epochs=8), seeds=[1]).psi
+    return M.fit(_obs(spark, sf), M.FitConfig(k=3), seeds=[1]).psi
 
 
 @query()
@@ -1053,7 +1053,7 @@ def fit_phi(spark, sf):
 @query()
 def transfer_phi(spark, sf):
     """Activities for given factors."""
-    return M.transfer(_obs(spark, sf), I.psi(spark, sf), M.FitConfig(k=I.K, num_epochs=8, concentration=10.0)).phi
+    return M.transfer(_obs(spark, sf), I.psi(spark, sf), M.FitConfig(k=I.K, concentration=10.0)).phi
 
 
 @query()
@@ -1068,7 +1068,7 @@ def posterior_draws(spark, sf):
     """Mean and spread of drawn activities after a fit that starts from waypoints."""
     obs, members = _obs(spark, sf), _metacells(spark, sf)
     psi, phi = W.initialize_psi_phi(obs, members, I.junctions(spark, sf), I.cells(spark, sf), N_WAYPOINTS)
-    config = M.FitConfig(k=N_WAYPOINTS, num_epochs=4, concentration=float("inf"))
+    config = M.FitConfig(k=N_WAYPOINTS, concentration=float("inf"))
     result = M.fit(obs, config, seeds=[1], psi_init=psi, phi_init=phi)
     draws = M.sample_phi(result.phi, N_WAYPOINTS, 10, seed=1)
     return posterior.posterior_summary(draws, "phi", ["cell_id", "factor_idx"])
