@@ -13,7 +13,9 @@ them. The format is controlled by the writer's options:
 Metadata are read without touching the ids. A range of global token positions is read from the parts that hold it.
 
 White space separates words for the tokenizer, so a text's ids are those of its words one after the other. Each distinct word is
-encoded by the library once and kept; the table of kept words is emptied when it holds ``kept_words``.
+encoded by the library once and kept; the tables are emptied when they hold ``kept_words`` and ``kept_pieces``. If the tokenizer
+composes, lower-cases and splits by the pattern below, as the public one does, words of Latin letters, digits and ASCII signs are
+split here, so that only their distinct pieces are given to the library's model; all other words go through the whole library.
 
 Results: one row per row of the input. A null text counts as empty and holds the end id alone. Null ids come last; rows with
 equal ids are ordered by the hash of their texts, so equal rows are neighbours.
@@ -21,9 +23,13 @@ equal ids are ordered by the hash of their texts, so equal rows are neighbours.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,13 @@ from countloom.llm.text import buffers, chunk_bounds
 
 #: Words longer than this are encoded where they occur and not kept.
 _LONG_WORD = 64
+#: The pattern of a tokenizer whose Latin words may be split here, and the steps before it.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STEPS = ["NFC", "Replace", "Lowercase"]
+#: Letters of Latin-1; they are composed, and each has one lower-case form.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+_LATIN_WORD = re.compile(f"[!-~{_LETTERS}\xc0-\xd6\xd8-\xde]+")
+_LATIN_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 @dataclass(frozen=True)
@@ -47,7 +60,8 @@ class TokenFileConfig:
     row_group_bytes: int = 16 << 20
     page_bytes: int = 64 << 10
     page_rows: int = 1000
-    kept_words: int = 200_000
+    kept_words: int = 150_000
+    kept_pieces: int = 500_000
 
 
 _FILE_DDL = "part int, doc_id long, start long, n_tokens long, ids array<int>"
@@ -66,28 +80,65 @@ def _options(config: TokenFileConfig) -> dict[str, str]:
     }
 
 
+def _splits_latin_words(tokenizer) -> bool:
+    """Whether the tokenizer's own description says that it splits words by the pattern above and nothing else."""
+    told = json.loads(tokenizer.to_str())
+    before = (told.get("normalizer") or {}).get("normalizers", [])
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [step["type"] for step in before] == _STEPS
+        and [step["type"] for step in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"].get("Regex"), cuts[0]["behavior"], cuts[0]["invert"]) == (_PIECES, "Removed", True)
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+        and all("<" in added["content"] for added in told["added_tokens"])
+    )
+
+
 class WordEncoder:
     """Ids of texts, by the ids of their distinct words."""
 
     def __init__(self, config: TokenFileConfig):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(config.tokenizer), config.kept_words
+        self.tokenizer, self.limits = Tokenizer.from_file(config.tokenizer), (config.kept_words, config.kept_pieces)
         self.end = np.uint32(config.end_id).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.latin = _splits_latin_words(self.tokenizer)
+        # How the library writes the bytes of a letter.
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in [*range(0x21, 0x7F), *range(0xDF, 0x100)]}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            found = self.tokenizer.model.tokenize(piece.translate(self.spelling))
+            ids = np.array([token.id for token in found], dtype="<u4").tobytes()
+            self.pieces[piece] = ids
+        return ids
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found)}
+        out, others = {}, []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            # A word with "<" may hold a token of its own.
+            if self.latin and "<" not in text and len(word) <= _LONG_WORD and _LATIN_WORD.fullmatch(text):
+                out[word] = b"".join([self._piece(p) for p in _LATIN_PIECE.findall(text.lower())])
+            else:
+                others.append((word, text))
+        found = self.tokenizer.encode_batch([text for _, text in others], add_special_tokens=False) if others else []
+        out.update((word, np.array(e.ids, dtype="<u4").tobytes()) for (word, _), e in zip(others, found))
+        return out
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The ids of texts that lie one after the other, as bytes, each with the end id."""
         whole = data.tobytes()
         split = [whole[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        if len(self.known) > self.limit:
-            self.known.clear()
+        for kept, limit in zip((self.known, self.pieces), self.limits):
+            if len(kept) > limit:
+                kept.clear()
         known = self.known
-        missing = {w for words in split for w in words if w not in known}
+        missing = set(chain.from_iterable(split)).difference(known)
         if missing:
             known.update(self._learn([w for w in missing if len(w) <= _LONG_WORD]))
         long_words = [w for w in missing if len(w) > _LONG_WORD]
@@ -96,6 +147,22 @@ class WordEncoder:
         return [b"".join([*map(known.__getitem__, words), self.end]) for words in split]
 
 
+def _worker_encoder(config: TokenFileConfig) -> WordEncoder:
+    """One encoder per Python worker.
+
+    This module arrives anew with every task, so the encoder is kept with the library's module, which stays.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_countloom_encoders", {})
+    key = tuple(vars(config).values())
+    if key not in kept:
+        kept.clear()
+        kept[key] = WordEncoder(config)
+    return kept[key]
+
+
 def _id_list(encoded: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
     """(number of ids, ids as an Arrow list column)."""
     sizes = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
@@ -110,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, config: TokenFileConfig) -> None:
     ordered = texts(docs).withColumn("text_key", text_key()).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def encode(frames: Iterable[pa.RecordBatch]):
-        encoder, part, start = WordEncoder(config), TaskContext.get().partitionId(), 0
+        encoder, part, start = _worker_encoder(config), TaskContext.get().partitionId(), 0
         for frame in frames:
             data, offsets = buffers(frame.column("text"))
             for first, last in chunk_bounds(offsets):

@@ -91,7 +91,7 @@ def test_no_sentinel_arises_at_a_seam(spark):
 @pytest.fixture(scope="module")
 def config():
     tokenizers = pytest.importorskip("public_tokenizers")
-    return tokenfile.TokenFileConfig(tokenizers.path("word_bpe_49k.json"), kept_words=300)
+    return tokenfile.TokenFileConfig(tokenizers.path("word_bpe_49k.json"), kept_words=300, kept_pieces=200)
 
 
 @pytest.fixture(scope="module")
@@ -162,6 +162,18 @@ def test_token_file_format(spark, config, tmp_path):
     assert groups > len(files)
 
 
+def test_words_split_here_have_the_ids_of_the_library(config):
+    """Contractions, signs, digits, Latin letters and everything beyond them, in random words."""
+    encoder, rng = tokenfile.WordEncoder(config), random.Random(1)
+    assert encoder.latin
+    signs = "abcDEF''''stvedlm019 .,!\xdf\xc4\xd6\xff\xde\xfe\xf0\xf7\xd7\xe9\xc9<|>\u0301\u0130 \x1c\x85\u03c3\u03a3\u65e5\xaa\xba\xb2\xb5\u200b\n"
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(30)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids = np.frombuffer(encoder.encode(data, np.array([0, len(data)]))[0], "<u4").tolist()
+        assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [1], repr(text)
+
+
 def test_no_documents_no_tokens(spark, config):
     path = scratch_path(spark, "tokens-none")
     tokenfile.write_tokens(brute.frame(spark, []), path, config)
