@@ -255,9 +255,10 @@ def test_language_model(docs):
 
 
 def test_suffix_tree_is_a_distribution(spark):
-    """Followers of a context sum to 1, and a repeated phrase is predicted far better than by single words."""
+    """What follows beta depends on the word before it, so contexts of two words are kept, and predict far better than single words."""
     rng = random.Random(5)
-    rows = [(k, " ".join([*brute.prose(rng, 30, 50).split(), "alpha beta gamma delta", *brute.prose(rng, 10, 50).split()]), "en", "a", 0) for k in range(200)]
+    phrases = ["alpha beta gamma delta", "omega beta sigma delta"]
+    rows = [(k, " ".join([*brute.prose(rng, 30, 50).split(), phrases[k % 2], *brute.prose(rng, 10, 50).split()]), "en", "a", 0) for k in range(200)]
     df = brute.frame(spark, rows)
     config = suffixtree.TreeConfig(least=1e-3)
     counts = suffixtree.word_counts(suffixtree.texts(df)).cache()
