@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countloom.functions import draws
 from countloom.functions.vectors import pack
 from countloom.operators import betabinom, fdr_em, likelihood, posterior, quality
 from countloom.operators import counts as C
@@ -996,7 +999,7 @@ def pca_coordinates(spark, sf):
              FROM obs o JOIN phi USING (cell_id) LEFT JOIN f ON f.junction_id = o.junction_id AND f.factor_idx = phi.factor_idx),
     mixed AS (SELECT *, sum(phi * psi) OVER e AS p1, sum(phi * (1 - psi)) OVER e AS p0 FROM grid WINDOW e AS (PARTITION BY cell_id, junction_id)),
     splits AS (SELECT *, y / p1 * phi * psi AS r1, (n - y) / p0 * phi * (1 - psi) AS r0 FROM mixed)
-    SELECT 'cell' AS kind, CAST(cell_id AS VARCHAR) AS key, factor_idx, round(sum(r1), 6) AS r1, round(sum(r0), 6) AS r0 FROM splits GROUP BY cell_id, factor_idx
+    SELECT 'cell' AS kind, CAST(cell_id AS VARCHAR) AS key, factor_idx, round(sum(r1) + sum(r0), 6) AS r1, CAST(0 AS DOUBLE) AS r0 FROM splits GROUP BY cell_id, factor_idx
     UNION ALL
     SELECT 'junction', junction_id, factor_idx, round(sum(r1), 6), round(sum(r0), 6) FROM splits GROUP BY junction_id, factor_idx"""
 )
@@ -1004,26 +1007,14 @@ def fit_split_sums(spark, sf):
     """One pass of the fit from given factors: expected splits summed by cell and by junction."""
     k = I.K
     config = M.FitConfig(k=k, concentration=float("inf"))
-    entries = M.prepare_entries(_obs(spark, sf), config)
-    none = F.lit(None).cast("double")
-    cell_rows = pack(I.phi(spark, sf), "cell_id", "factor_idx", "phi", k, "e1")
-    junction_rows = M._fixed_psi_rows(I.psi(spark, sf), k)
-    state = M.State(cell_rows.withColumn("a", none), junction_rows)
-    sums = M._epoch_sums(entries, state, config, M._start_hyper(config), 1.0, False)
-    slots = F.array(
-        *[
-            F.struct(F.lit(i).alias("factor_idx"), F.col(f"r1_{i}").alias("r1"), F.col(f"r0_{i}").alias("r0"))
-            for i in range(k)
-        ]
-    )
-    long = sums.select(
-        F.when(F.col("cell_id").isNotNull(), "cell").otherwise("junction").alias("kind"),
-        F.coalesce(F.col("cell_id").cast("string"), "junction_id").alias("key"),
-        F.inline(slots),
-    )
+    cells, junctions = M.split_sums(_obs(spark, sf), I.psi(spark, sf), I.phi(spark, sf), config)
+    half = F.lit(0.0)
+    # Cells get the sum of both sides only; junctions each side.
+    by_cell = cells.select(F.lit("cell").alias("kind"), F.col("cell_id").cast("string").alias("key"), F.posexplode("sums").alias("factor_idx", "r1"), half.alias("r0"))
+    zipped = junctions.select(F.lit("junction").alias("kind"), F.col("junction_id").alias("key"), F.posexplode(F.arrays_zip("r1", "r0")).alias("factor_idx", "r"))
     present = I.phi(spark, sf).select(F.lit("cell").alias("kind"), F.col("cell_id").cast("string").alias("key"), "factor_idx")
-    by_cell = long.filter("kind = 'cell'").join(present, ["kind", "key", "factor_idx"])
-    return by_cell.unionByName(long.filter("kind = 'junction'"))
+    by_cell = by_cell.join(present, ["kind", "key", "factor_idx"])
+    return by_cell.unionByName(zipped.select("kind", "key", "factor_idx", "r.r1", "r.r0"))
 
 
 def _binomial(**more):
@@ -1074,6 +1065,43 @@ def posterior_draws(spark, sf):
     return posterior.posterior_summary(draws, "phi", ["cell_id", "factor_idx"])
 
 
+_MIX_SQL = "CAST((CAST(xor({z}, {z} >> {by}) AS UHUGEINT) * CAST({times} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+
+
+def _uniform_sql(stream: str, counter: int) -> str:
+    """The n-th uniform of a stream, step by step: the mixing function modulo 2 to the 64."""
+    start = f"CAST((CAST({stream} AS UHUGEINT) + CAST({(counter + 1) * draws.INCREMENT % 2**64} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+    first, second = draws.MIX
+    return f"""(SELECT (CAST(xor(z, z >> 31) >> 11 AS DOUBLE) + 0.5) / 9007199254740992 FROM (SELECT {_MIX_SQL.format(z='z', by=27, times=second)} AS z
+        FROM (SELECT {_MIX_SQL.format(z='z', by=30, times=first)} AS z FROM (SELECT {start} AS z))))"""
+
+
+@query(
+    Q.with_ctes(Q.CELLS)
+    + f""", keyed AS (SELECT cell_id, CAST('0x' || md5('7|check|' || cell_id)[1:16] AS UBIGINT) AS h FROM cells)
+    SELECT cell_id, round({_uniform_sql('h', 0)}, 6) AS u0, round({_uniform_sql('h', 1)}, 6) AS u1, round({_uniform_sql('h', 12345)}, 6) AS u2 FROM keyed"""
+)
+def draw_uniforms(spark, sf):
+    """Three uniforms of the stream of every cell, on which all posterior draws rest."""
+    keyed = I.cells(spark, sf).select("cell_id", draws.stream_key(7, "check", "cell_id").alias("h"))
+
+    def draw(frames):
+        for f in frames:
+            stream = f.column("h").to_numpy().view(np.uint64)
+            values = [draws.uniforms(stream, np.full(f.num_rows, n)) for n in (0, 1, 12345)]
+            yield pa.RecordBatch.from_arrays([f.column("cell_id"), *map(pa.array, values)], ["cell_id", "u0", "u1", "u2"])
+
+    return keyed.mapInArrow(draw, "cell_id long, u0 double, u1 double, u2 double")
+
+
+@query()
+def posterior_draws_all(spark, sf):
+    """Mean and spread of the drawn prior parameters of every junction after a fit."""
+    result = M.fit(_obs(spark, sf), _binomial(), seeds=[1], junctions=I.junctions(spark, sf))
+    drawn = M.sample_all(result, 3, 0, 20, seed=1)["priors"]
+    return drawn.groupBy("junction_id").agg(*[f(F.log(name)).alias(f"{tag}_{name}") for name in "ab" for tag, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
 @query(
     Q.with_ctes(*BASE)
     + """SELECT junction_id, part, value, count(*) AS times FROM (

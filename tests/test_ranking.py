@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from countloom.functions.ranking import QUARTILES, exact_quantiles, top_per_group, with_running
-from countloom.functions.skew import add_slice, hot_keys, repeat_slices
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
@@ -49,16 +48,3 @@ def test_top_per_group_is_cut_before_the_shuffle(spark):
     top = top_per_group(df, ["g"], [F.desc("v")], 2)
     assert sorted((r.g, r.v) for r in top.collect()) == [(0, 996), (0, 999), (1, 994), (1, 997), (2, 995), (2, 998)]
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
-
-
-def test_slices_split_only_hot_keys_and_keep_the_join_whole(spark):
-    rows = [(1, i) for i in range(90)] + [(k, k) for k in range(2, 30)]
-    fact = spark.createDataFrame(rows, "k int, other int")
-    dim = spark.createDataFrame([(k, k * 10) for k in range(1, 30)], "k int, w int")
-    hot = hot_keys(fact, "k", hot_rows=20)
-    assert [(r.k, r.n_slices) for r in hot.collect()] == [(1, 5)]
-    left = add_slice(fact, hot, "k", "other", "s")
-    assert left.filter("k = 1").select("s").distinct().count() == 5
-    joined = left.join(repeat_slices(dim, hot, "k", "s"), ["k", "s"])
-    assert sorted((r.k, r.other, r.w) for r in joined.collect()) == sorted((k, o, k * 10) for k, o in rows)
-    assert hot_keys(fact, "k", hot_rows=1000) is None
