@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from countloom.llm.sieve import split_by_ids
 from countloom.llm.tables import text_key, texts
-from countloom.llm.text import BASE, Words, mix, powers, rolling, word_chunks
+from countloom.llm.text import BASE, Words, buffers, chunk_bounds, mix, powers, rolling, word_chunks
 from countloom.storage import materialise
 
 GRAM = 8
@@ -209,23 +209,29 @@ def matches(docs: DataFrame, window: int = 50) -> DataFrame:
     return whole.unionByName(hits).unionByName(moved)
 
 
-def parse(found: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, ref_doc, ref_start) from matches (start, n, ref_doc, ref_start) of one document.
+def parse(row: np.ndarray, start: np.ndarray, n: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Greedy factors (row, start, words, ref_doc, ref_start) from the matches of several documents, by row and start.
 
     A factor is followed while the next match continues it in the same document. Windows that cross its end
     are the next matches in order, so they open factors of their own, which may overlap it.
     """
-    factors: list[list[int]] = []
-    for start, n, ref_doc, ref_start in sorted(found):
-        if factors:
-            last = factors[-1]
-            ahead = start - last[0]
-            follows = last[2] == ref_doc and ref_start - last[3] == ahead
-            if follows and start <= last[0] + last[1] - window + 1:
-                last[1] = max(last[1], ahead + n + window - 1)
-                continue
-        factors.append([start, n + window - 1, ref_doc, ref_start])
-    return [tuple(f) for f in factors]
+    order = np.lexsort((ref_start, ref_doc, n, start, row))
+    row, start, n, ref_doc, ref_start = (v[order] for v in (row, start, n, ref_doc, ref_start))
+    shift, end = ref_start - start, start + n
+    same = (row[1:] == row[:-1]) & (ref_doc[1:] == ref_doc[:-1]) & (shift[1:] == shift[:-1])
+    alike = np.concatenate([[0], np.cumsum(~same)])
+    # How far the matches so far reach, within a run of the same shift; runs are kept apart by a stride.
+    stride = int(end.max()) + 1
+    reach = np.maximum.accumulate(alike * stride + end) - alike * stride
+    opens = np.ones(len(row), bool)
+    opens[1:] = ~same | (start[1:] > reach[:-1])
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], start[first], reach[last] - start[first] + window - 1, ref_doc[first], ref_start[first]
+
+
+#: Matches and bytes of text that are worked on at a time; a single document may have more.
+_MATCHES, _TEXT_BYTES = 1 << 18, 4 << 20
 
 
 def factors(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -234,12 +240,19 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def work(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_in:
-            parsed = [parse([tuple(m.values()) for m in row], window) for row in batch.column(2).to_pylist()]
-            lists = [[dict(zip(("start", "words", "ref_doc", "ref_start"), f)) for f in row] for row in parsed]
-            of = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lists, of)], names=["doc_id", "text_key", "factors"]
-            )
+            offsets = batch.column(2).offsets.to_numpy()
+            for first, last in chunk_bounds(offsets, _MATCHES):
+                part = batch.slice(first, last - first)
+                found = part.column(2).flatten()
+                row = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
+                values = [found.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("start", "n", "ref_doc", "ref_start")]
+                row, *columns = parse(row, *values, window)
+                kinds = [("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]
+                spans = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[name for name, _ in kinds])
+                bounds = np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=["doc_id", "text_key", "factors"]
+                )
 
     listed = matches(docs, window).groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("found")
@@ -251,8 +264,13 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, text_key, n_words, n_removed, kept_text, factors): every document without its duplicate spans."""
     spans = materialise(factors(docs, window), "factors")
 
-    def work(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_in:
+            for first, last in chunk_bounds(buffers(batch.column(1))[1], _TEXT_BYTES):
+                yield batch.slice(first, last - first)
+
+    def work(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches_in):
             total, removed, kept = [], [], []
             for text, found in zip(batch.column(1), batch.column(3)):
                 raw = text.as_buffer()

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +83,12 @@ def test_substring_short_windows(spark, window):
 
 def test_factors_follow_their_reference():
     found = [(0, 3, 1, 10), (3, 2, 1, 13), (5, 1, 2, 0)]
-    assert substring.parse(found, 50) == [(0, 54, 1, 10), (5, 50, 2, 0)]
+    columns = [np.array(c) for c in zip(*found)]
+    # The same matches in two rows: factors do not cross from one into the next.
+    twice = [np.concatenate([c, c]) for c in columns]
+    row, *spans = substring.parse(np.repeat([0, 1], len(found)), *twice, 50)
+    want = [(0, 54, 1, 10), (5, 50, 2, 0)]
+    assert row.tolist() == [0, 0, 1, 1] and list(zip(*[s.tolist() for s in spans])) == want * 2
 
 
 def test_quality(docs, labels):
