@@ -1096,10 +1096,12 @@ def draw_uniforms(spark, sf):
 
 @query()
 def posterior_draws_all(spark, sf):
-    """Mean and spread of the drawn prior parameters of every junction after a fit."""
-    result = M.fit(_obs(spark, sf), _binomial(), seeds=[1], junctions=I.junctions(spark, sf))
-    drawn = M.sample_all(result, 3, 0, 20, seed=1)["priors"]
-    return drawn.groupBy("junction_id").agg(*[f(F.log(name)).alias(f"{tag}_{name}") for name in "ab" for tag, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    """Mean and spread of the drawn prior parameters of every junction, saved with a fit and read back."""
+    obs = _obs(spark, sf)
+    path = lifecycles.fit_and_store(obs, scratch_path(spark, "stored"), _binomial(), 20, 1, seeds=[1], junctions=I.junctions(spark, sf))
+    found = IO.load_statistics(spark, path, verify=True)
+    a, b = (found[name].selectExpr("junction_id", f"mean AS mean_{name}", f"std AS std_{name}") for name in "ab")
+    return a.join(b, "junction_id")
 
 
 @query(
