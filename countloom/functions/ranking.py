@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from countloom.storage import materialise
 
 
-def _part_window(group: list[str]):
-    return Window.partitionBy("_part", *group)
+#: Above this number of rows Spark no longer limits a group before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+_GROUP_LIMIT = 1000
 
 
 def with_running(
@@ -18,15 +18,21 @@ def with_running(
     order: list[Column],
     sums: dict[str, Column] | None = None,
     partitions: int | None = None,
+    counted: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``rank``, ``group_rows`` and, for each name in ``sums``, the running sum ``name`` and ``name_total``.
 
+    For each name in ``counted`` the number of the group's rows that meet the
+    condition is added; the condition may use the rank and the sums.
+
     A plain window over ``group`` would send a whole group to one task, however
     large. Here the rows are split into ranges of (group, order), each range
-    is summed on its own, and the sums of the ranges before it are added. Rows
-    must differ in ``order`` within a group for the rank to be well defined.
+    is summed on its own, and the sums of the ranges before it are added. What a
+    group has in all also comes back by range, so rows are never joined by group
+    alone. Rows must differ in ``order`` within a group for the rank to be well
+    defined. A null group is a group.
     """
-    sums = sums or {}
+    sums, counted = sums or {}, counted or {}
     # Without a number, adaptive execution may merge neighbouring ranges of little data.
     number = [partitions] if partitions else []
     weights = {f"_w_{name}": expr for name, expr in sums.items()}
@@ -34,41 +40,47 @@ def with_running(
         df.withColumns(weights)
         .repartitionByRange(*number, *[F.col(g) for g in group], *order)
         .withColumn("_part", F.spark_partition_id())
+        # One key for the group: equal structs may hold nulls, so the windows, sums and joins below share one partitioning.
+        .withColumn("_key", F.struct(*group) if group else F.struct(F.lit(0)))
     )
     # The split must not change between its two uses below, so it is written.
     ranged = materialise(ranged, "ranges")
 
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*(group or [F.lit(0)]))
-    per_range = ranged.groupBy("_part", *group).agg(
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_key")
+    per_range = ranged.groupBy("_part", "_key").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_w_{name}").alias(f"_t_{name}") for name in sums]
     )
     offsets = per_range.select(
-        F.col("_part").alias("_opart"),
-        *[F.col(g).alias(f"_o_{g}") for g in group],
+        "_part",
+        "_key",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.sum("_rows").over(whole).alias("group_rows"),
         *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0.0)).alias(f"_before_{name}") for name in sums],
         *[F.sum(f"_t_{name}").over(whole).alias(f"{name}_total") for name in sums],
     )
 
-    within = _part_window(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_part", "_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns(
         {
             "_rank": F.count(F.lit(1)).over(within),
             **{f"_run_{name}": F.sum(f"_w_{name}").over(within) for name in sums},
         }
     )
-    same = F.col("_part") == F.col("_opart")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    return local.join(offsets, same).select(
+    out = local.join(offsets, ["_part", "_key"]).select(
+        "_part",
+        "_key",
         *df.columns,
         (F.col("_rank") + F.col("_rows_before")).alias("rank"),
         "group_rows",
         *[(F.col(f"_run_{name}") + F.col(f"_before_{name}")).alias(name) for name in sums],
         *[f"{name}_total" for name in sums],
     )
+    if counted:
+        met = out.groupBy("_part", "_key").agg(*[F.count_if(condition).alias(name) for name, condition in counted.items()])
+        met = met.select("_part", "_key", *[F.sum(name).over(whole).alias(name) for name in counted])
+        out = out.join(met, ["_part", "_key"])
+    return out.drop("_part", "_key")
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
@@ -112,7 +124,13 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     """The first ``n`` rows of each group.
 
     Spark keeps only ``n`` rows per group and map task before the shuffle
-    (window group limit), so a hot group does not reach one task whole.
+    (window group limit), so a hot group does not reach one task whole. It does
+    not for more than 1,000 rows; then the first ``n`` of every input partition
+    are taken first, in tasks of their own.
     """
+    if n > _GROUP_LIMIT:
+        part = Window.partitionBy("_part", *group).orderBy(*order)
+        df = df.withColumn("_part", F.spark_partition_id()).withColumn("_first", F.row_number().over(part))
+        df = df.filter(F.col("_first") <= n).drop("_part", "_first")
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from countloom.functions.ranking import QUARTILES, exact_quantiles, top_per_group
 from countloom.operators.counts import observed_psi
+from countloom.storage import materialise
 
 
 def psi_deviation(psi: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def histogram(df: DataFrame, value: str, group: list[str], bins: int) -> DataFra
     """Counts in equal bins between the group's minimum and maximum; the last bin is closed.
 
     Empty bins appear with count 0. A constant group gets a range of width 1
-    around its value.
+    around its value. The bounds are written first, so Spark knows their size: up to the broadcast threshold rows are counted where they
+    are and only (group, bin) counts move; more groups than that are joined by key.
     """
     bounds = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     flat = F.col("_lo") == F.col("_hi")
@@ -70,6 +72,7 @@ def histogram(df: DataFrame, value: str, group: list[str], bins: int) -> DataFra
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"),
     ).filter(F.col("lo").isNotNull())
+    bounds = materialise(bounds, "bounds")
     keyed = df.withColumn("_all", F.lit(0)) if not group else df
     keys = group or ["_all"]
     if not group:

@@ -155,3 +155,14 @@ def test_histogram(spark):
     assert [r.n for r in rows[:10]] == counts.tolist()
     assert [r.left_edge for r in rows[:10]] == pytest.approx(edges[:-1])
     assert [r.n for r in rows[10:]] == np.histogram([2.0], 10)[0].tolist()
+
+
+def test_histogram_moves_counts_only(spark):
+    """The rows meet the written bounds where they are; only (group, bin) counts are shuffled."""
+    df = spark.range(3000).selectExpr("id % 3 AS g", "id / 7 AS v")
+    plan = S.histogram(df, "v", ["g"], 10)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(k for k, line in enumerate(lines) if "Range (" in line)
+    above = [line for line in lines[:scan] if "Exchange hashpartitioning" in line]
+    # Two keys each: the group and the bin.
+    assert above and all(line.split("hashpartitioning(")[1].count("#") == 2 for line in above) and "BroadcastHashJoin" in plan

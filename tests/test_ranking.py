@@ -48,3 +48,32 @@ def test_top_per_group_is_cut_before_the_shuffle(spark):
     top = top_per_group(df, ["g"], [F.desc("v")], 2)
     assert sorted((r.g, r.v) for r in top.collect()) == [(0, 996), (0, 999), (1, 994), (1, 997), (2, 995), (2, 998)]
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_a_group_join_by_range(spark):
+    """What a group has in all comes back by (range, group), so no join or window of the rows goes by the group alone."""
+    rows = [("hot" if k % 10 else None, k, k / 500) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = with_running(df, ["g"], [F.asc("k")], {"s": F.col("v")}, partitions=4, counted={"met": F.col("s") / F.col("rank") > 0.3})
+        got = {r.k: (r.s, r.met) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+    assert joins and all("_part" in line for line in joins)
+    for hot in (True, False):
+        ks = [k for k in range(500) if (k % 10 > 0) == hot]
+        runs = np.cumsum([k / 500 for k in ks])
+        met = int((runs / np.arange(1, len(ks) + 1) > 0.3).sum())
+        assert all(got[k] == (pytest.approx(run), met) for k, run in zip(ks, runs))
+
+
+def test_top_of_a_hot_group_beyond_the_group_limit(spark):
+    df = spark.range(6000).selectExpr("IF(id % 3 = 0, 1, 0) AS g", "id AS v").repartition(5)
+    top = top_per_group(df, ["g"], [F.desc("v")], 1500).collect()
+    for g in (0, 1):
+        want = sorted((k for k in range(6000) if (k % 3 == 0) == (g == 1)), reverse=True)[:1500]
+        assert sorted((r["rank"], r.v) for r in top if r.g == g) == list(enumerate(want, 1))
