@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countloom.llm.tables import WORD, text_key, texts, word_slice
+from countloom.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,8 @@ def pack_group(lengths: np.ndarray, config: PackConfig) -> tuple[np.ndarray, np.
 
 def pack(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
     """(doc_id, text_key, copy, chunk, start, length, bin_group, bin, capacity, position): where every chunk of every document lies."""
-    cut = chunks(docs, config).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    # Written first: the count and the packing would both cut all texts.
+    cut = materialise(chunks(docs, config), "chunks").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
     cut = cut.withColumn("copy", F.col("copy") - 1)
     total = cut.count()
     groups = max(1, -(-total // config.group))
