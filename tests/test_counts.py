@@ -16,7 +16,7 @@ def worked(spark):
 
 def test_totals_of_the_worked_example(worked):
     rows = {(r.cell_id, r.atse_id): r.n for r in C.atse_totals(worked[0]).collect()}
-    assert [(rows[c, 0], rows[c, 1]) for c in range(5)] == [(4, 2), (2, 4), (2, 2), (4, 3), (2, 4)]
+    assert [(rows[c, 0], rows[c, 1]) for c in range(6)] == [(5, 3), (8, 7), (2, 8), (2, 6), (3, 9), (6, 1)]
 
 
 def test_totals_from_the_junction_table(worked):
@@ -29,23 +29,24 @@ def test_totals_from_the_junction_table(worked):
 def test_density_and_means(worked):
     counts, cells, junctions = worked
     row = C.density(counts, cells, junctions).first()
-    assert (row.nnz, row.density, row.sparsity) == (15, 0.5, 0.5)
+    assert (row.nnz, row.density, row.sparsity) == (18, 0.6, 0.4)
     means = {r.junction_id: r.mean_count for r in C.mean_counts(counts, cells).collect()}
-    assert [means[j] for j in range(6)] == pytest.approx([1.2, 0.6, 1.0, 0.6, 1.2, 1.2])
+    assert [means[j] for j in range(5)] == pytest.approx([2.0, 7 / 3, 4 / 3, 13 / 6, 13 / 6])
     assert C.cluster_layer(C.atse_totals(counts), junctions).count() == 30
 
 
 def test_weighted_means_and_centred_usage(worked):
     obs = C.with_totals(worked[0])
     means = {r.junction_id: r.junction_mean for r in C.junction_means(obs).collect()}
-    assert [means[j] for j in range(6)] == pytest.approx([0.75, 0.75, 0.625, 0.436782, 0.670607, 0.614035], **APPROX)
+    assert [means[j] for j in range(5)] == pytest.approx([0.799923, 0.72545, 0.721088, 0.662222, 0.448376], **APPROX)
     centred = {(r.cell_id, r.junction_id): r.centered for r in C.centered_psi(obs).collect()}
     want = {
-        (0, 0): 0, (0, 2): -0.375, (0, 4): 0.329393,
-        (1, 1): 0.25, (1, 3): -0.186782, (1, 5): 0.135965,
-        (2, 0): -0.25, (2, 1): -0.25, (2, 5): 0.385965,
-        (3, 2): 0.375, (3, 3): 0.229885, (3, 4): -0.337273,
-        (4, 0): 0.25, (4, 4): 0.079393, (4, 5): -0.364035,
+        (0, 0): 0.200077, (0, 2): -0.054422, (0, 3): -0.328889,
+        (1, 1): 0.27455, (1, 4): 0.551624,
+        (2, 0): -0.299923, (2, 1): -0.22545, (2, 2): 0.028912, (2, 4): -0.198376,
+        (3, 0): 0.200077, (3, 3): -0.162222, (3, 4): 0.051624,
+        (4, 1): 0.27455, (4, 3): 0.226667, (4, 4): -0.337264,
+        (5, 0): -0.133256, (5, 1): -0.392117, (5, 3): 0.337778,
     }
     assert centred.keys() == want.keys()
     assert [centred[k] for k in want] == pytest.approx(list(want.values()), **APPROX)
@@ -59,17 +60,17 @@ def _dataset(worked, totals=None):
 
 def test_observed_entries_and_zeros(worked):
     stored = C.observed_entries(_dataset(worked))
-    assert stored.count() == 15
+    assert stored.count() == 18
     full = C.observed_entries(_dataset(worked), include_zeros=True)
     assert full.count() == 30
-    assert full.filter("y = 0").count() == 15
+    assert full.filter("y = 0").count() == 12
     C.assert_valid(stored)
 
 
 def test_missing_total_is_zero_and_reported(worked):
     totals = C.atse_totals(worked[0]).filter("NOT (cell_id = 0 AND atse_id = 1)")
     obs = C.observed_entries(_dataset(worked, totals))
-    assert obs.filter("n = 0").count() == 1
+    assert obs.filter("n = 0").count() == 2
     with pytest.raises(ValueError, match="y_without_n"):
         C.assert_valid(obs)
 
@@ -95,16 +96,16 @@ def test_missing_layers_are_named(worked, present, missing):
 
 def test_filter_is_strict_and_covers_both_layers(worked):
     counts, cells, junctions = worked
-    kept, totals, mask = C.filter_junctions(counts, C.atse_totals(counts), cells, junctions, 1.0)
-    assert sorted(r.junction_id for r in mask.filter("keep").collect()) == [0, 4, 5]
-    assert {r.junction_id for r in kept.select("junction_id").distinct().collect()} == {0, 4, 5}
-    assert totals.count() == 10
+    kept, totals, mask = C.filter_junctions(counts, C.atse_totals(counts), cells, junctions, 2.0)
+    assert sorted(r.junction_id for r in mask.filter("keep").collect()) == [1, 3, 4]
+    assert {r.junction_id for r in kept.select("junction_id").distinct().collect()} == {1, 3, 4}
+    assert totals.count() == 12
 
 
 def test_sums_with_empty_keys(spark, worked):
     keys = spark.createDataFrame([(0,), (99,)], "cell_id long")
     sums = {r.cell_id: r.total for r in C.sum_by(worked[0], "cell_id", keys=keys).collect()}
-    assert sums == {0: 6.0, 99: 0.0}
+    assert sums == {0: 8.0, 99: 0.0}
 
 
 def test_sampling_ignores_partitioning(spark):

@@ -48,7 +48,7 @@ def test_dataset_roundtrip_and_missing_layers(spark, tmp_path):
     layers = {JUNCTION_LAYER: counts.drop("atse_id"), CLUSTER_LAYER: C.atse_totals(counts)}
     IO.save_dataset(Dataset(cells, junctions, layers), f"{tmp_path}/full")
     obs = IO.load_observed(spark, f"{tmp_path}/full")
-    assert obs.count() == 15 and obs.agg({"n": "max"}).first()[0] == 4
+    assert obs.count() == 18 and obs.agg({"n": "max"}).first()[0] == 9
     for present, missing in ((JUNCTION_LAYER, CLUSTER_LAYER), (CLUSTER_LAYER, JUNCTION_LAYER)):
         IO.save_dataset(Dataset(cells, junctions, {present: layers[present]}), f"{tmp_path}/{present}")
         with pytest.raises(ValueError, match=missing):
