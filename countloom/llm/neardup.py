@@ -334,14 +334,15 @@ class NearDups:
 def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> NearDups:
     """Class, component and representative of every document.
 
-    ``documents``: doc_id, text_key, key (of the class), n_shingles, component_id (smallest id reachable), kept (the id is its component's).
+    ``documents``: doc_id, text_key, key (of the class), n_shingles, component_id (smallest id reachable), first_text (smallest text key of
+    the component), kept (the id is its component's).
     ``links`` holds the links that decide the components, not all within one.
     """
     rows = materialise(describe(docs, config), "shingled")
     classes = (
         rows.filter(F.col("key").isNotNull())
         .groupBy("key")
-        .agg(F.min("doc_id").alias("label"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
+        .agg(F.min("doc_id").alias("label"), F.min("text_key").alias("first_text"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     )
     classes = materialise(classes, "classes")
     sigs = classes.select("key", "sig", "size")
@@ -364,22 +365,25 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     links = stars.unionByName(confirmed(rest, sets, config))
     links = materialise(links, "links")
     comps = components(links)
-    labels = classes.select("key", "label")
+    labels = classes.select("key", "label", "first_text")
     joined = labels.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = joined.groupBy("comp").agg(F.min("label").alias("component_id"))
-    labels = joined.join(least, "comp").select("key", "component_id")
+    least = joined.groupBy("comp").agg(F.min("label").alias("component_id"), F.min("first_text").alias("first_text"))
+    labels = joined.select("key", "comp").join(least, "comp").select("key", "component_id", "first_text")
     out = rows.select("doc_id", "text_key", "n_shingles", "key").join(labels, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "text_key", "key", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "text_key", "key", "n_shingles", component.alias("component_id"), "first_text")
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return NearDups(out, links)
 
 
 def keep_one(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """``docs`` with one document per component; of rows equal in id and text one stays."""
+    """``docs`` with one document per component; of rows equal in id and text one stays.
+
+    Of a component without ids the row with the smallest hash of its text stays.
+    """
     # The null of an id is a key of its own, so the join and the removal of repeats share one shuffle.
     place = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()]
-    kept = near_duplicates(docs, config).documents.filter("kept")
+    kept = near_duplicates(docs, config).documents.filter("kept AND (doc_id IS NOT NULL OR key IS NULL OR text_key = first_text)")
     kept = kept.select(place[0].alias("_id"), place[1].alias("_no_id"), F.col("text_key").alias("_row_key"))
     keys = ["_id", "_no_id", "_row_key"]
     keyed = docs.withColumns({"_id": place[0], "_no_id": place[1], "_row_key": F.xxhash64(F.col("text").cast("string"))})

@@ -60,6 +60,18 @@ def test_neardup_keeps_one(docs):
     assert {(r.doc_id, r.text) for r in rows} == want and len(rows) == len(want)
 
 
+def test_neardup_keeps_one_of_those_without_ids(spark):
+    """Near copies without ids leave one; a group that has an id leaves that document; texts without words stay."""
+    rng = random.Random(11)
+    group = lambda: [f"w{rng.randrange(10000)}" for _ in range(80)]
+    one, two, alone = group(), group(), group()
+    edits = lambda words: [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (0, 1, 79)]
+    rows = [(None, text, "en", "a", 0) for text in [*edits(one), *edits(two), " ".join(alone), ""]] + [(7, " ".join(two), "en", "a", 0)]
+    found = neardup.keep_one(brute.frame(spark, rows)).collect()
+    assert len([r for r in found if r.text in edits(one)]) == 1
+    assert sorted(r.text for r in found if r.text not in edits(one)) == sorted(["", " ".join(alone), " ".join(two)])
+
+
 def test_bayesian_limits():
     steps = neardup.least_matches(neardup.NearDupConfig())
     for n, m in steps:
