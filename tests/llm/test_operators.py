@@ -371,6 +371,22 @@ def test_toxicity(spark, docs, labels):
     assert sum(r.flagged for r in clean) / len(clean) < 0.04
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Sixty marks, too many for the rows of one shard to show each often: the shards together teach all of them, whatever their number."""
+    rng = random.Random(8)
+    rows, marks = [], []
+    for k in range(1500):
+        text = brute.prose(rng, 20, 400).split()
+        text[rng.randrange(20)] = f"{'nasty' if k % 2 else 'kind'}{chr(97 + k % 30)}{chr(97 + k // 30 % 2)}x"
+        rows.append((k, " ".join(text), "en", "a", 0))
+        marks.append((k, k % 2))
+    config = toxicity.NetConfig(buckets=1 << 14, shard=250, epochs=3, false_rate=0.05)
+    found = toxicity.classify(brute.frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"), config=config).collect()
+    held = [r for r in found if r.held_out]
+    assert len(found) == 1500 and sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.95
+    assert len({r.threshold for r in found}) == 1 and 0 < found[0].threshold <= 1
+
+
 def test_thresholds_are_split_conformal():
     """The k-th highest clean score is exceeded by a further one with probability k / (n + 1)."""
     import numpy as np
