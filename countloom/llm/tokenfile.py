@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -47,8 +48,11 @@ _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _STEPS = ["NFC", "Replace", "Lowercase"]
 #: Letters of Latin-1; they are composed, and each has one lower-case form.
 _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
-_LATIN_WORD = re.compile(f"[!-~{_LETTERS}\xc0-\xd6\xd8-\xde]+")
-_LATIN_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: Of words joined by spaces: those with a character that is none of these, or with "<", as they may hold a token of its own.
+_OTHER_WORD = re.compile(f"(?<![^ ])[!-;=-~{_LETTERS}\xc0-\xd6\xd8-\xde]*[^ !-;=-~{_LETTERS}\xc0-\xd6\xd8-\xde][^ ]*")
+_LATIN_PIECE = re.compile(f" |'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ {_LETTERS}0-9]+")
+#: Stands between the ids of two words; as the last byte of an id is 0, no bytes of ids look like it.
+_GAP = b"\xff" * 4
 
 
 @dataclass(frozen=True)
@@ -104,31 +108,39 @@ class WordEncoder:
         self.end = np.uint32(config.end_id).tobytes()
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.latin = _splits_latin_words(self.tokenizer)
+        self.latin = _splits_latin_words(self.tokenizer) and self.tokenizer.get_vocab_size() < 1 << 24
         # How the library writes the bytes of a letter.
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in [*range(0x21, 0x7F), *range(0xDF, 0x100)]}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            found = self.tokenizer.model.tokenize(piece.translate(self.spelling))
-            ids = np.array([token.id for token in found], dtype="<u4").tobytes()
-            self.pieces[piece] = ids
-        return ids
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, others = {}, []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            # A word with "<" may hold a token of its own.
-            if self.latin and "<" not in text and len(word) <= _LONG_WORD and _LATIN_WORD.fullmatch(text):
-                out[word] = b"".join([self._piece(p) for p in _LATIN_PIECE.findall(text.lower())])
-            else:
-                others.append((word, text))
+    def _latin_ids(self, words: str) -> list[bytes]:
+        """The ids of each of the lower-case Latin words, joined by spaces, which are split all at once."""
+        found = _LATIN_PIECE.findall(words)
+        pieces = self.pieces
+        tokenize = self.tokenizer.model.tokenize
+        for piece in set(found).difference(pieces):
+            # ASCII signs are spelled as they are.
+            ids = [token.id for token in tokenize(piece if piece.isascii() else piece.translate(self.spelling))]
+            pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        pieces[" "] = _GAP
+        return b"".join(map(pieces.__getitem__, found)).split(_GAP)
+
+    def _learn(self, words: list[bytes], out: dict[bytes, bytes], latin: bool) -> None:
+        """Adds the ids of distinct words without white space to ``out``; with ``latin`` those of Latin letters are split here."""
+        whole = b" ".join(words).decode("utf-8", "replace")
+        texts, others = whole.split(" "), None
+        if latin:
+            other, others = set(_OTHER_WORD.findall(whole)), []
+            if other:
+                others = [(word, text) for word, text in zip(words, texts) if text in other]
+                words = [word for word, text in zip(words, texts) if text not in other]
+                whole = " ".join([text for text in texts if text not in other])
+            if words:
+                out.update(zip(words, self._latin_ids(whole.lower())))
+        if others is None:
+            others = list(zip(words, texts))
         found = self.tokenizer.encode_batch([text for _, text in others], add_special_tokens=False) if others else []
         out.update((word, np.array(e.ids, dtype="<u4").tobytes()) for (word, _), e in zip(others, found))
-        return out
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The ids of texts that lie one after the other, as bytes, each with the end id."""
@@ -139,11 +151,13 @@ class WordEncoder:
                 kept.clear()
         known = self.known
         missing = set(chain.from_iterable(split)).difference(known)
+        long_words = [w for w in missing if len(w) > _LONG_WORD] if missing and max(map(len, missing)) > _LONG_WORD else []
+        missing.difference_update(long_words)
         if missing:
-            known.update(self._learn([w for w in missing if len(w) <= _LONG_WORD]))
-        long_words = [w for w in missing if len(w) > _LONG_WORD]
+            self._learn(list(missing), known, self.latin)
         if long_words:
-            known = known | self._learn(long_words)
+            known = known.copy()
+            self._learn(long_words, known, False)
         return [b"".join([*map(known.__getitem__, words), self.end]) for words in split]
 
 

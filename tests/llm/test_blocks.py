@@ -109,6 +109,25 @@ def encoded(config):
     return [(r[0], t.encode(r[1] or "", add_special_tokens=False).ids + [config.end_id]) for r in ROWS]
 
 
+def test_words_split_together_have_the_ids_of_the_whole_library(config):
+    """Words of a chunk are split at once: signs, forms with apostrophes, other letters, marks of special tokens and long words between them."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, t = random.Random(4), Tokenizer.from_file(config.tokenizer)
+    signs = "abcXYZ'sdmtlvre0123 <|endoftext|>\xe9\xc0\xdf\xf7\xd7\u0436\u4e2d\ufb01\x7f.-,!\u0130\u017f" + "".join(map(chr, range(33, 127)))
+    texts = [" ".join("".join(rng.choices(signs, k=rng.choice([1, 2, 5, 9, 70]))) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    data = [text.encode() for text in [*texts, "", "IT'S we'll", "x" * 200 + " it's"]]
+    encoder = tokenfile.WordEncoder(config)
+    for at in range(0, len(data), 20):
+        some = data[at : at + 20]
+        bounds = np.cumsum([0, *map(len, some)])
+        ids = encoder.encode(np.frombuffer(b"".join(some), np.uint8), bounds)
+        want = [t.encode(d.decode(), add_special_tokens=False).ids + [config.end_id] for d in some]
+        assert [np.frombuffer(i, "<u4").tolist() for i in ids] == want
+
+
 def test_token_files_hold_the_ids(spark, written, config):
     found = tokenfile.read_documents(spark, written).orderBy("start").collect()
     assert sorted(((r.doc_id, list(r.ids)) for r in found), key=repr) == sorted(encoded(config), key=repr)
