@@ -132,40 +132,89 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def sequence_counts(rows: DataFrame, length: int, shorter: DataFrame, floor: int) -> DataFrame:
+#: Sequences that a task adds up before it sends them on, and tokens of the corpus for each group that they are sent to.
+_HELD, _GROUP = 1 << 20, 1 << 19
+
+
+def _pairs(context: np.ndarray, below: np.ndarray, n: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, context, below, n) with the counts of equal pairs added up, group by group.
+
+    Inside a group equal contexts lie next to each other, so that they compress well.
+    """
+    key = joined_key(context, below)
+    group = (key >> np.uint64(16)) % np.uint64(groups)
+    order = np.argsort((group << np.uint64(48)) | (context >> np.uint64(40) << np.uint64(24)) | (key >> np.uint64(40)))
+    key = key[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(fresh)
+    sums, first = np.add.reduceat(n[order], begin), order[begin]
+    group = group[first]
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1), len(group)]
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        yield int(group[a]), context[first[a:b]], below[first[a:b]], sums[a:b]
+
+
+def sequence_counts(rows: DataFrame, length: int, shorter: DataFrame, floor: int, total: int) -> DataFrame:
     """(key, context, below, n): the sequences of ``length`` tokens that occur ``floor`` times, without the last token and without the first.
 
-    Both shorter sequences are then in ``shorter`` as well.
+    Both shorter sequences are then in ``shorter`` as well. ``total`` is the number of tokens. A task adds up its sequences, and they travel as
+    arrays by group, one row per task and group: the groups, cut by the key's hash, grow in number with the corpus and not in size.
     """
     model = rows.sparkSession.sparkContext.broadcast(sieve(shorter))
+    groups = min(1 + total // _GROUP, 1 << 16)
+    names = ["group", "context", "below", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = model.value
+        bits, held, size = model.value, [], 0
 
-        def each(words, offsets):
-            below, _ = sequences(words, offsets, length - 1)
-            key, able = sequences(words, offsets, length)
-            may = may_have(bits, below)
-            able[1:] &= may[:-1]
-            at = np.flatnonzero(able & may)
-            return key[at], below[at - 1], below[at]
+        def sent():
+            context, below = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            for group, *parts in _pairs(context, below, np.ones(len(context), np.int64), groups):
+                lists = [pa.array([x], pa.list_(pa.int64())) for x in (parts[0].view(np.int64), parts[1].view(np.int64), parts[2])]
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *lists], names)
 
         for batch in batches:
-            for counted in _counted(batch.column(0), each):
-                yield counted.select(["part_0", "part_1", "n"])
-
-    found = rows.select("text").mapInArrow(run, "part_0 long, part_1 long, n long")
-    # The key follows from the two parts, so the shuffle does without it.
-    summed = found.groupBy(F.col("part_0").alias("context"), F.col("part_1").alias("below")).agg(F.sum("n").alias("n"))
+            for chunk in word_chunks(batch.column(0), lower=True):
+                words, offsets = tokens(chunk)
+                below, _ = sequences(words, offsets, length - 1)
+                may = may_have(bits, below)
+                able = may & (np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets)) >= length - 1)
+                able[1:] &= may[:-1]
+                at = np.flatnonzero(able)
+                held.append((below[at - 1], below[at]))
+                size += len(at)
+                if size >= _HELD:
+                    yield from sent()
+                    held, size = [], 0
+        if size:
+            yield from sent()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def often():
+            context, below, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            for _, *parts in _pairs(context.view(np.uint64), below.view(np.uint64), n, 1):
+                enough = parts[2] >= floor
+                context, below, n = (x[enough] for x in parts)
+                columns = [joined_key(context, below), context, below]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in columns], pa.array(n)], names=["key", "context", "below", "n"])
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            context, below = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(joined_key(context, below).view(np.int64)), *batch.columns], names=["key", "context", "below", "n"]
-            )
+            lists = [batch.column(k) for k in (1, 2, 3)]
+            for i, group in enumerate(batch.column(0).to_pylist()):
+                if group != now and held:
+                    yield from often()
+                    held = []
+                now = group
+                held.append([column[i].values.to_numpy() for column in lists])
+        if held:
+            yield from often()
 
-    return summed.filter(F.col("n") >= floor).mapInArrow(named, "key long, context long, below long, n long")
+    found = rows.select("text").mapInArrow(run, "group int, context array<long>, below array<long>, n array<long>")
+    spread = found.select(*names).repartition("group").sortWithinPartitions("group")
+    return spread.mapInArrow(added, "key long, context long, below long, n long")
 
 
 @dataclass
@@ -198,7 +247,7 @@ def learn(rows: DataFrame, config: TreeConfig, counts: DataFrame, total: int, di
     followers, nodes = [], []
     for length in range(1, config.length + 1):
         # ``level`` has the sequences of ``length`` tokens: the contexts, and the followers of their parents.
-        found = materialise(sequence_counts(rows, length + 1, level, config.floor), "sequences")
+        found = materialise(sequence_counts(rows, length + 1, level, config.floor, total), "sequences")
         seen = level.select(F.col("key").alias("context"), F.col("below").alias("parent"), F.col("n").alias("seen"))
         under = level.select(F.col("key").alias("below"), F.col("p").alias("q"))
         joined = found.join(seen, "context").join(under, "below")

@@ -422,3 +422,25 @@ def test_url_lists(spark):
     out = sorted((r.page_id, ",".join(r.lists)) for r in urllists.evaluate(captures, entries).collect())
     assert out == [(1, "sub"), (2, "bad"), (2, "bad"), (3, ""), (4, "bad,sub"), (5, ""), (6, ""), (7, "")]
     assert urllists.evaluate(captures.limit(0), entries.limit(0)).count() == 0
+
+
+def test_sequences_travel_by_group(spark, monkeypatch):
+    monkeypatch.setattr(suffixtree, "_HELD", 300)
+    monkeypatch.setattr(suffixtree, "_GROUP", 200)
+    rng = np.random.default_rng(3)
+    docs = [" ".join(f"w{x}" for x in rng.integers(0, 12, n)) for n in rng.integers(0, 60, 80)]
+    rows = spark.createDataFrame([(x,) for x in docs], "text string").repartition(3).cache()
+    every = [[*x.split(), "\n"] for x in docs]
+    times = collections.Counter(pair for x in every for pair in zip(x, x[1:]))
+    singles = collections.Counter(w for x in every for w in x)
+    counts = suffixtree.word_counts(rows)
+    total = sum(singles.values())
+    found = suffixtree.sequence_counts(rows, 2, counts.filter("n >= 4"), 4, total).collect()
+    assert sorted(r.n for r in found) == sorted(n for (a, b), n in times.items() if n >= 4)
+    assert len({r.key for r in found}) == len({(r.context, r.below) for r in found}) == len(found)
+    # One row per group, its equal pairs added up and its equal contexts side by side.
+    context, below = rng.integers(0, 5, 1000).astype(np.uint64), rng.integers(0, 5, 1000).astype(np.uint64)
+    parts = list(suffixtree._pairs(context, below, np.ones(1000, np.int64), 7))
+    assert len({p[0] for p in parts}) == len(parts) <= 7
+    got = {(int(a), int(b)): int(n) for _, c, d, m in parts for a, b, n in zip(c, d, m)}
+    assert got == collections.Counter(zip(context.tolist(), below.tolist())) and sum(len(p[1]) for p in parts) == len(got)
