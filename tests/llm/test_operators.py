@@ -444,3 +444,18 @@ def test_sequences_travel_by_group(spark, monkeypatch):
     assert len({p[0] for p in parts}) == len(parts) <= 7
     got = {(int(a), int(b)): int(n) for _, c, d, m in parts for a, b, n in zip(c, d, m)}
     assert got == collections.Counter(zip(context.tolist(), below.tolist())) and sum(len(p[1]) for p in parts) == len(got)
+
+
+def test_toxicity_sends_table_rows_range_by_range():
+    """The values of a range are put together when their turn comes, not those of the whole table at once."""
+    import tracemalloc
+
+    n = 1 << 19
+    table, squares = np.ones((n, 8), np.float32), np.full(n, 2.0)
+    ids = np.arange(0, n, 2)
+    tracemalloc.start()
+    ranges = [(b.column(0)[0].as_py(), len(b.column(1)[0]), b.column(2)[0].values.to_numpy().reshape(-1, 10)[-1].tolist()) for b in toxicity._by_range(ids, table, squares[:, None])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ranges == [(k, toxicity._RANGE // 2, [1.0] * 8 + [2.0, 1.0]) for k in range(n // toxicity._RANGE)]
+    assert peak < 12 << 20
