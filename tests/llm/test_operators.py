@@ -459,3 +459,24 @@ def test_toxicity_sends_table_rows_range_by_range():
     tracemalloc.stop()
     assert ranges == [(k, toxicity._RANGE // 2, [1.0] * 8 + [2.0, 1.0]) for k in range(n // toxicity._RANGE)]
     assert peak < 12 << 20
+
+
+def test_toxicity_moves_labelled_texts_once(spark):
+    """One shuffle by shard, however large the labels are; of texts without a label none but a few go through it."""
+    rows = [(k, f"text {k}", "en", "a", 0) for k in range(400)] + [(k, "another", None, "a", 0) for k in range(0, 400, 8)] + [(None, "none", "en", "a", 0)]
+    marks = [(k, k % 3 if k % 5 else None) for k in range(0, 500, 4)] + [(8, 1), (None, 1)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = toxicity.labelled(brute.frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"), "toxic", 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        out = [tuple(r) for r in found.select("doc_id", "text", "lang", "y").collect()]
+        places = collections.defaultdict(set)
+        for r in found.select("shard", "doc_id", F.spark_partition_id().alias("at")).collect():
+            places[r.shard].add(r["at"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert all(len(p) == 1 for p in places.values()) and set(places) == {0, 1, 2}
+    ys = {k: y for k, y in marks[:125] if y in (0, 1) and k < 400 and zlib.crc32(str(k).encode()) % 5} | ({8: 1} if zlib.crc32(b"8") % 5 else {})
+    assert sorted(out, key=lambda r: r[0]) == [(k, "another" if k % 8 == 0 else f"text {k}", None if k % 8 == 0 else "en", y) for k, y in sorted(ys.items())]
