@@ -13,8 +13,9 @@ Tokens are lower-cased words and one end token per text. The tree is learned fro
 Followers of a context also follow its parent, and ancestors are kept. So the score of a token is its root score plus one term for each word
 sequence of up to ``length`` + 1 tokens that ends with it or just before it: a term for having the context, and one for the follower. The
 terms of all sequences are a table that grows with the corpus. Those of sequences with at least the probability ``least`` (at most
-(length + 1) / least) are broadcast, and the others meet the sequences of the texts in a join; where the line lies changes no result. In the same way
-the most frequent ``head`` words are broadcast and the other words of every text are joined. A bit table of fixed size keeps sequences that
+(length + 1) / least) are broadcast, and the others meet the sequences of the texts in one shuffle; where the line lies changes no result. In the same way
+the most frequent ``head`` words are broadcast and the other words of every text are looked up in that shuffle. The keys lie in groups, ranges whose number
+grows with the terms; a task sends those of many texts at once, sorted, by group, so that they travel as small differences. A bit table of fixed size keeps sequences that
 certainly have no entry out of the shuffles; it lets more rows through as the corpus grows and turns none away wrongly.
 
 Defined results: a null or empty text has one token, the end. A null id is not held out. Only ``doc_id`` and ``text`` are read.
@@ -132,6 +133,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """First bytes next to first bytes, and so on, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, dtype: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).ravel()
+
+
 #: Sequences that a task adds up before it sends them on, and tokens of the corpus for each group that they are sent to.
 _HELD, _GROUP = 1 << 20, 1 << 19
 
@@ -159,7 +172,7 @@ def sequence_counts(rows: DataFrame, length: int, shorter: DataFrame, floor: int
     """(key, context, below, n): the sequences of ``length`` tokens that occur ``floor`` times, without the last token and without the first.
 
     Both shorter sequences are then in ``shorter`` as well. ``total`` is the number of tokens. A task adds up its sequences, and they travel as
-    arrays by group, one row per task and group: the groups, cut by the key's hash, grow in number with the corpus and not in size.
+    packed arrays by group, one row per task and group: the groups, cut by the key's hash, grow in number with the corpus and not in size.
     """
     model = rows.sparkSession.sparkContext.broadcast(sieve(shorter))
     groups = min(1 + total // _GROUP, 1 << 16)
@@ -171,8 +184,8 @@ def sequence_counts(rows: DataFrame, length: int, shorter: DataFrame, floor: int
         def sent():
             context, below = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             for group, *parts in _pairs(context, below, np.ones(len(context), np.int64), groups):
-                lists = [pa.array([x], pa.list_(pa.int64())) for x in (parts[0].view(np.int64), parts[1].view(np.int64), parts[2])]
-                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *lists], names)
+                packed = [pa.array([_packed(x)], pa.binary()) for x in (parts[0], parts[1], parts[2].astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *packed], names)
 
         for batch in batches:
             for chunk in word_chunks(batch.column(0), lower=True):
@@ -195,24 +208,24 @@ def sequence_counts(rows: DataFrame, length: int, shorter: DataFrame, floor: int
 
         def often():
             context, below, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-            for _, *parts in _pairs(context.view(np.uint64), below.view(np.uint64), n, 1):
+            for _, *parts in _pairs(context, below, n, 1):
                 enough = parts[2] >= floor
                 context, below, n = (x[enough] for x in parts)
                 columns = [joined_key(context, below), context, below]
                 yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in columns], pa.array(n)], names=["key", "context", "below", "n"])
 
         for batch in batches:
-            lists = [batch.column(k) for k in (1, 2, 3)]
             for i, group in enumerate(batch.column(0).to_pylist()):
                 if group != now and held:
                     yield from often()
                     held = []
                 now = group
-                held.append([column[i].values.to_numpy() for column in lists])
+                context, below, n = (batch.column(k)[i].as_py() for k in (1, 2, 3))
+                held.append((_unpacked(context, np.uint64), _unpacked(below, np.uint64), _unpacked(n, np.uint32).astype(np.int64)))
         if held:
             yield from often()
 
-    found = rows.select("text").mapInArrow(run, "group int, context array<long>, below array<long>, n array<long>")
+    found = rows.select("text").mapInArrow(run, "group int, context binary, below binary, n binary")
     spread = found.select(*names).repartition("group").sortWithinPartitions("group")
     return spread.mapInArrow(added, "key long, context long, below long, n long")
 
@@ -296,16 +309,119 @@ def learn(rows: DataFrame, config: TreeConfig, counts: DataFrame, total: int, di
     )
 
 
-def _uses(keys: np.ndarray, owner: np.ndarray, texts_here: int) -> pa.Array:
-    """Per text its distinct keys with their number of uses."""
-    order = np.lexsort((keys, owner))
-    of, key = owner[order], keys[order]
-    fresh = np.ones(len(of), bool)
-    fresh[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
-    begin = np.flatnonzero(fresh)
-    uses = np.diff(np.append(begin, len(of)))
-    bounds = np.searchsorted(of[begin], np.arange(texts_here + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(key[begin].view(np.int64)), pa.array(uses)], names=["key", "uses"]))
+#: Kinds of the rows that travel by group, in the order in which a group needs them: terms, counts of words, the sequences and the words that texts
+#: ask for, and the texts.
+_TERM, _COUNT, _SEQUENCE, _WORD, _TEXT = range(5)
+#: Terms of a group.
+_TERMS = 1 << 20
+_SENT = (
+    "group int, kind int, base long, keys binary, rows binary, numbers binary, row long, doc_id long, text_key long, n_tokens long, n_known long, "
+    "base_score double, score double"
+)
+_SENT_SCHEMA = pa.schema(
+    [("group", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("numbers", pa.binary())]
+    + [(c, pa.int64()) for c in ("row", "doc_id", "text_key", "n_tokens", "n_known")]
+    + [(c, pa.float64()) for c in ("base_score", "score")]
+)
+
+
+def _batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows to send; the columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _SENT_SCHEMA], schema=_SENT_SCHEMA)
+
+
+def _by_group(kind: int, keys: np.ndarray, numbers: np.ndarray, groups: int, rows: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted ``keys`` and what goes with them, one row per group; the groups cut the range of the keys, which travel as differences."""
+    group = (keys >> np.uint64(40)) * np.uint64(groups) >> np.uint64(24)
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1), len(group)]
+    base = 0 if rows is None else int(rows.min())
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        columns = {
+            "group": pa.array([int(group[a])], pa.int32()),
+            "kind": pa.array([kind], pa.int32()),
+            "base": pa.array([base], pa.int64()),
+            "keys": pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0)))], pa.binary()),
+            "numbers": pa.array([_packed(numbers[a:b])], pa.binary()),
+        }
+        if rows is not None:
+            columns["rows"] = pa.array([_packed((rows[a:b] - base).astype(np.uint32))], pa.binary())
+        yield _batch(1, **columns)
+
+
+def _asked(kind: int, keys: np.ndarray, rows: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """The keys that rows ask for, each once per row with its number of uses."""
+    order = np.lexsort((rows, keys))
+    keys, rows = keys[order], rows[order]
+    begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])))
+    uses = np.diff(np.append(begin, len(keys))).astype(np.uint32)
+    yield from _by_group(kind, keys[begin], uses, groups, rows[begin])
+
+
+def _answers(table: DataFrame, kind: int, groups: int) -> DataFrame:
+    """The pairs of ``table`` (key, value) by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent():
+            keys, values = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.argsort(keys)
+            yield from _by_group(kind, keys[order], values[order], groups)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if size >= _HELD:
+                yield from sent()
+                held, size = [], 0
+        if size:
+            yield from sent()
+
+    return table.select("key", F.col("value").cast("double").alias("value")).mapInArrow(run, _SENT)
+
+
+def _answered(sent: DataFrame, scale: float) -> DataFrame:
+    """(row, doc_id, text_key, n_tokens, n_known, base_score, score): the texts as they are, and what their rows get from every group."""
+    names = ["row", "doc_id", "text_key", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables, found = None, {}, {}
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            texts_here = batch.filter(pa.array(kinds == _TEXT))
+            if texts_here.num_rows:
+                yield texts_here.select(names)
+            for i in np.flatnonzero(kinds != _TEXT).tolist():
+                group, kind = batch.column(0)[i].as_py(), int(kinds[i])
+                if group != now:
+                    now, tables, found = group, {_TERM: [], _COUNT: []}, {}
+                keys = np.cumsum(_unpacked(batch.column(3)[i].as_py(), np.uint64), dtype=np.uint64)
+                if kind in tables:
+                    tables[kind].append((keys, _unpacked(batch.column(5)[i].as_py(), np.float64)))
+                    continue
+                answer = _TERM if kind == _SEQUENCE else _COUNT
+                if answer not in found:
+                    parts = tables[answer]
+                    known = Lookup(np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64))
+                    found[answer] = known, np.append(np.concatenate([v for _, v in parts]) if parts else np.zeros(0), 0.0)
+                    tables[answer] = []
+                known, values = found[answer]
+                value = values[known.find(keys)]
+                uses = _unpacked(batch.column(5)[i].as_py(), np.uint32).astype(np.int64)
+                rows, of = np.unique(_unpacked(batch.column(4)[i].as_py(), np.uint32), return_inverse=True)
+                total = lambda weights: np.bincount(of, weights, len(rows))
+                if kind == _SEQUENCE:
+                    own, base, seen = total(uses * value), np.zeros(len(rows)), np.zeros(len(rows))
+                else:
+                    own = base = total(uses * np.log10((value + 0.5) / scale))
+                    seen = total(uses * (value > 0))
+                nothing = pa.nulls(len(rows), pa.int64())
+                at = pa.array(rows.astype(np.int64) + batch.column(2)[i].as_py())
+                yield pa.RecordBatch.from_arrays([at, nothing, nothing, nothing, pa.array(seen.astype(np.int64)), pa.array(base), pa.array(own)], names=names)
+
+    spread = sent.repartition("group").sortWithinPartitions("group", "kind")
+    return spread.mapInArrow(run, "row long, doc_id long, text_key long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, training: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
@@ -318,6 +434,9 @@ def score(docs: DataFrame, training: DataFrame, config: TreeConfig = TreeConfig(
     scale = total + 0.5 * (distinct + 1)
     context = docs.sparkSession.sparkContext
     rest = None if tree.tail is None else sieve(tree.tail)
+    # With all words in the head, the others are certainly not in the training texts.
+    all_words = distinct <= config.head
+    groups = min(1 + ((0 if tree.tail is None else tree.tail.count()) + (0 if all_words else distinct)) // _TERMS, 1 << 16)
     model = context.broadcast((tree.keys, tree.values, sieve(tree.terms), rest, head["key"].astype(np.int64), head["n"].astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,16 +444,33 @@ def score(docs: DataFrame, training: DataFrame, config: TreeConfig = TreeConfig(
         common, known = Lookup(keys.view(np.uint64)), Lookup(found_keys)
         n = np.append(n, 0)
         root_log = np.log10((n + 0.5) / scale)
+        # The words and the sequences outside the broadcast heads, with the rows that have them.
+        held, size = {_SEQUENCE: [], _WORD: []}, 0
+
+        def ask(kind: int, keys: np.ndarray, rows: np.ndarray) -> int:
+            if len(keys):
+                held[kind].append((keys, rows))
+            return len(keys)
+
+        def sent():
+            for kind, parts in held.items():
+                if parts:
+                    yield from _asked(kind, *(np.concatenate([p[i] for p in parts]) for i in (0, 1)), groups)
+                parts.clear()
+
         for batch in batches:
             for chunk in word_chunks(batch.column(1), lower=True):
                 words, offsets = tokens(chunk)
+                here = chunk.last - chunk.first
+                row = batch.column(3).slice(chunk.first, here)
+                of = np.repeat(row.to_numpy(), np.diff(offsets))
                 at = common.find(words)
                 tail = at < 0
-                base = np.where(tail, 0.0, root_log[at])
+                base = root_log[at]
+                if not all_words:
+                    base[tail] = 0.0
+                    size += ask(_WORD, words[tail], of[tail])
                 own = base.copy()
-                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                # Unknown so far: the words and the sequences outside the broadcast heads, each once per text with its number of uses.
-                open_keys, open_owner = [], []
                 for length in range(1, config.length + 2):
                     key, able = sequences(words, offsets, length)
                     place = np.flatnonzero(able & may_have(any_bits, key))
@@ -344,59 +480,37 @@ def score(docs: DataFrame, training: DataFrame, config: TreeConfig = TreeConfig(
                     if tail_bits is not None:
                         place = place[~got]
                         place = place[may_have(tail_bits, key[place])]
-                        open_keys.append(key[place])
-                        open_owner.append(owner[place])
-                size = chunk.last - chunk.first
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(chunk.first, size),
-                        batch.column(2).slice(chunk.first, size),
-                        batch.column(3).slice(chunk.first, size),
-                        pa.array(np.diff(offsets)),
-                        pa.array(np.add.reduceat(~tail & (n[at] > 0), offsets[:-1], dtype=np.int64)),
-                        pa.array(np.add.reduceat(base, offsets[:-1])),
-                        pa.array(np.add.reduceat(own, offsets[:-1])),
-                        _uses(words[tail], owner[tail], size),
-                        _uses(np.concatenate(open_keys), np.concatenate(open_owner), size) if open_keys else _uses(words[:0], owner[:0], size),
-                    ],
-                    names=["doc_id", "text_key", "row", "n_tokens", "n_known", "base_score", "score", "rare", "longer"],
+                        size += ask(_SEQUENCE, key[place], of[place])
+                yield _batch(
+                    here,
+                    group=pa.array((-1 - (row.to_numpy() & 1023)).astype(np.int32)),
+                    kind=pa.array(np.full(here, _TEXT, np.int32)),
+                    row=row,
+                    doc_id=batch.column(0).slice(chunk.first, here),
+                    text_key=batch.column(2).slice(chunk.first, here),
+                    n_tokens=pa.array(np.diff(offsets)),
+                    n_known=pa.array(np.add.reduceat(~tail & (n[at] > 0), offsets[:-1], dtype=np.int64)),
+                    base_score=pa.array(np.add.reduceat(base, offsets[:-1])),
+                    score=pa.array(np.add.reduceat(own, offsets[:-1])),
                 )
+                if size >= _HELD:
+                    yield from sent()
+                    size = 0
+        yield from sent()
 
-    # The rows are numbered in the written table, so equal rows stay apart.
+    # The rows are numbered where they are read, so equal rows stay apart.
     rows = texts(docs).select("doc_id", "text", text_key().alias("text_key"), F.monotonically_increasing_id().alias("row"))
-    first = rows.mapInArrow(
-        run,
-        "doc_id long, text_key long, row long, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<struct<key: long, uses: long>>, longer array<struct<key: long, uses: long>>",
-    )
-    first = materialise(first, "scores")
-    def spread(column: str) -> DataFrame:
-        return first.select("row", F.explode(column).alias("r")).select("row", "r.*")
-
-    log = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(scale)))
-    met = spread("rare").join(counts, "key", "left").select(
-        "row",
-        F.when(F.col("n") > 0, F.col("uses")).otherwise(0).alias("known"),
-        (F.col("uses") * log).alias("base"),
-        (F.col("uses") * log).alias("own"),
-    )
-    if tree.tail is not None:
-        terms = spread("longer").join(tree.tail.select("key", "value"), "key")
-        met = met.unionByName(
-            terms.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("uses") * F.col("value")).alias("own"))
+    out = rows.mapInArrow(run, _SENT)
+    answers = [] if tree.tail is None else [_answers(tree.tail.select("key", "value"), _TERM, groups)]
+    if not all_words:
+        answers.append(_answers(counts.select("key", F.col("n").alias("value")), _COUNT, groups))
+    if answers:
+        for more in answers:
+            out = out.unionByName(more)
+        out = _answered(out, scale).groupBy("row").agg(
+            *[F.max(c).alias(c) for c in ("doc_id", "text_key", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
         )
-    added = met.groupBy("row").agg(
-        F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("own").alias("more_score")
-    )
-    return first.drop("rare", "longer").join(added, "row", "left").select(
-        "doc_id",
-        "text_key",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-    )
+    return out.select("doc_id", "text_key", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_held_out(docs: DataFrame, remainder: int = 1, config: TreeConfig = TreeConfig()) -> DataFrame:

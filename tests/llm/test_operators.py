@@ -480,3 +480,30 @@ def test_toxicity_moves_labelled_texts_once(spark):
     assert all(len(p) == 1 for p in places.values()) and set(places) == {0, 1, 2}
     ys = {k: y for k, y in marks[:125] if y in (0, 1) and k < 400 and zlib.crc32(str(k).encode()) % 5} | ({8: 1} if zlib.crc32(b"8") % 5 else {})
     assert sorted(out, key=lambda r: r[0]) == [(k, "another" if k % 8 == 0 else f"text {k}", None if k % 8 == 0 else "en", y) for k, y in sorted(ys.items())]
+
+
+def test_suffix_tree_asks_by_group(spark, monkeypatch):
+    """Sequences and words outside the broadcast parts meet their terms in sorted groups, in one shuffle; the scores stay the same, row by row."""
+    rng = np.random.default_rng(11)
+    rows = [(k % 90, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) % 60), "en", "a", 0) for k in range(120)] + [(7, None, "en", "a", 0), (None, "w1 w2", "en", "a", 0)] * 2
+    few, many = brute.frame(spark, rows + [(500, "unseen w1 unseen", "en", "a", 0)]), brute.frame(spark, rows)
+
+    def scores(**config):
+        found = suffixtree.score(few, many, suffixtree.TreeConfig(divergence=0.5, **config))
+        out = [(r.doc_id or -1, r.text_key or 0, r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 8)) for r in found.collect()]
+        return sorted(out), found._jdf.queryExecution().executedPlan().toString()
+
+    want, _ = scores(least=1e-9)
+    monkeypatch.setattr(suffixtree, "_HELD", 400)
+    monkeypatch.setattr(suffixtree, "_TERMS", 20)
+    got, plan = scores(least=1.0, head=6)
+    assert len(want) == 125 and got == want and any(r[4] != r[5] for r in want)
+    assert "Generate" not in plan and "Join" not in plan
+    keys, asked = rng.integers(0, 1 << 64, 1 << 17, np.uint64), rng.integers(50, 900, 1 << 17)
+    sent = list(suffixtree._asked(suffixtree._SEQUENCE, keys, asked, 4))
+    assert [b["group"][0].as_py() for b in sent] == [0, 1, 2, 3]
+    # A key and a row of 8 bytes each and the number of uses would be 20 bytes.
+    assert sum(b.nbytes for b in sent) < 9 * len(keys)
+    back = [(np.cumsum(suffixtree._unpacked(b["keys"][0].as_py(), np.uint64), dtype=np.uint64), suffixtree._unpacked(b["rows"][0].as_py(), np.uint32) + b["base"][0].as_py()) for b in sent]
+    order = np.argsort(keys)
+    assert (np.concatenate([k for k, _ in back]) == keys[order]).all() and (np.concatenate([r for _, r in back]) == asked[order]).all()
