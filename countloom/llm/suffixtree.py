@@ -146,7 +146,7 @@ def _unpacked(data: bytes, dtype: type) -> np.ndarray:
 
 
 #: Sequences that a task adds up before it sends them on, and tokens of the corpus for each group that they are sent to.
-_HELD, _GROUP = 1 << 20, 1 << 19
+_HELD, _GROUP = 1 << 19, 1 << 19
 
 
 def _pairs(context: np.ndarray, below: np.ndarray, n: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -455,8 +455,9 @@ def score(docs: DataFrame, training: DataFrame, config: TreeConfig = TreeConfig(
         def sent():
             for kind, parts in held.items():
                 if parts:
-                    yield from _asked(kind, *(np.concatenate([p[i] for p in parts]) for i in (0, 1)), groups)
-                parts.clear()
+                    keys, rows = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                    parts.clear()
+                    yield from _asked(kind, keys, rows, groups)
 
         for batch in batches:
             for chunk in word_chunks(batch.column(1), lower=True):
